@@ -69,4 +69,19 @@ select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_a
 from d left join found f on f.doc_id = d.doc_id
 """
 
-ORACLE = {"op3_mix_sources": _MIX, "op8_secret_scan": _SECRETS}
+_JACCARD = rf"""
+with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}') as w from documents),
+sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s from words),
+flat as (select doc_id, hash(unnest(s)) as h from sets),
+n as (select doc_id, len(s)::bigint as n from sets),
+few as (select h from flat group by h having count(*) > 1),
+f as (select flat.* from flat semi join few on flat.h = few.h),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as shared from f a join f b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+links as (select x, y from pairs join n a on a.doc_id = x join n b on b.doc_id = y where 100 * shared >= 90 * (a.n + b.n - shared)),
+sym as (select x, y from links union select y, x from links),
+reach as (select doc_id as x, doc_id as y from documents union select r.x, s.y from reach r join sym s on r.y = s.x)
+select n.doc_id, n.n as n_shingles, min(r.y) as component_id from n join reach r on r.x = n.doc_id group by 1, 2
+"""
+
+ORACLE = {"op4_ngram_jaccard": _JACCARD, "op3_mix_sources": _MIX, "op8_secret_scan": _SECRETS}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, secret_scan, token_counts, toxicity
+from . import mixing, ngram_jaccard, quality, secret_scan, token_counts, toxicity
 from .common import fold_of, table
 
 
@@ -42,6 +42,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_jaccard.similar_documents(table(spark, sf_dir, "documents"), width=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
@@ -51,4 +56,4 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_mix_sources, op6_token_counts, op8_secret_scan, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_mix_sources, op4_ngram_jaccard, op6_token_counts, op8_secret_scan, op10_quality)}
