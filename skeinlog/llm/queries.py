@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_jaccard, quality, secret_scan, token_counts, toxicity
+from . import mixing, ngram_jaccard, quality, secret_scan, suffix_dedup, token_counts, toxicity
 from .common import fold_of, table
 
 
@@ -51,9 +51,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_mix_sources, op4_ngram_jaccard, op6_token_counts, op8_secret_scan, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_mix_sources, op4_ngram_jaccard, op6_token_counts, op7_suffix_dedup, op8_secret_scan, op10_quality)}
