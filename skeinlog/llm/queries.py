@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_jaccard, quality, secret_scan, suffix_dedup, token_counts, toxicity
+from . import mixing, ngram_jaccard, pieces, quality, secret_scan, suffix_dedup, token_counts, toxicity
 from .common import fold_of, table
 
 
@@ -22,6 +22,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(toxicity.score(docs, model, keep=["doc_id"]), fold_of(F.col("doc_id"), 5) == 0)
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, their number, and whether they decode to the text."""
+    out = pieces.encode(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), keep=["doc_id"])
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.col("decodes").alias("round_trip"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return _classified(quality.score(docs, quality_model(docs, labels), keep=["doc_id"]), fold_of(F.col("doc_id"), 3) == 1)
@@ -61,4 +67,4 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_mix_sources, op4_ngram_jaccard, op6_token_counts, op7_suffix_dedup, op8_secret_scan, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_mix_sources, op4_ngram_jaccard, op6_token_counts, op7_suffix_dedup, op8_secret_scan, op9_sentencepiece, op10_quality)}

@@ -113,10 +113,11 @@ def count_tokens(
         cut = regex.compile("|".join(map(regex.escape, special))).split if special else None
         frequent, cache = table, dict(table)
 
-        def fill(missing: set[str]) -> None:
+        def fill(cuts: list[list[str]], missing: set[str]) -> None:
             if len(cache) + len(missing) > CACHE + len(frequent):
                 cache.clear()
                 cache.update(frequent)
+                missing = {p for found in cuts for p in found if p not in cache}
             for k in range(0, len(todo := list(missing)), 4096):
                 part = todo[k : k + 4096]
                 cache.update(zip(part, (len(e) for e in encoder.encode_batch_fast(part, add_special_tokens=False)), strict=True))
@@ -139,7 +140,7 @@ def count_tokens(
                     found = [p for part in parts for p in find(part)] if len(parts) > 1 else find(text)
                     cuts.append(found)
                     missing.update(p for p in set(found) if p not in cache)
-                fill(missing)
+                fill(cuts, missing)
                 for found, more in zip(cuts, extra, strict=True):
                     tokens.append(sum(map(cache.__getitem__, found)) + more)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
