@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_jaccard, pieces, quality, secret_scan, suffix_dedup, token_counts, toxicity
+from . import ann, mixing, ngram_jaccard, pieces, quality, secret_scan, suffix_dedup, token_counts, toxicity
 from .common import fold_of, table
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -24,7 +24,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, their number, and whether they decode to the text."""
-    out = pieces.encode(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), keep=["doc_id"])
+    out = pieces.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), keep=["doc_id"])
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.col("decodes").alias("round_trip"))
 
 
@@ -53,8 +53,13 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +72,4 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_mix_sources, op4_ngram_jaccard, op6_token_counts, op7_suffix_dedup, op8_secret_scan, op9_sentencepiece, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_mix_sources, op4_ngram_jaccard, op5_ann, op6_token_counts, op7_suffix_dedup, op8_secret_scan, op9_sentencepiece, op10_quality)}
