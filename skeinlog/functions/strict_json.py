@@ -11,6 +11,7 @@ from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _no_constant(name: str):
@@ -42,6 +43,6 @@ def read_object(line: str | None) -> dict[str, str | None] | None:
     return {k: stringify(v) for k, v in value.items()} if isinstance(value, dict) else None
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def strict_json_map(lines: pd.Series) -> pd.Series:
     return lines.map(read_object)
