@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, mixing, ngram_jaccard, pieces, quality, secret_scan, suffix_dedup, token_counts, toxicity
+from . import ann, media, mixing, ngram_jaccard, pieces, quality, secret_scan, suffix_dedup, token_counts, toxicity
 from .common import fold_of, table
 
 
@@ -15,6 +15,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_media_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds pictures, so each row of ``embeddings`` is drawn, every tenth a second time as an edited crop."""
+    return media.find_copies(media.pictures(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     seen = labels.where(fold_of(F.col("doc_id"), 5) != 0).select("doc_id", F.col("toxic").alias("label"))
@@ -72,4 +77,4 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_mix_sources, op4_ngram_jaccard, op5_ann, op6_token_counts, op7_suffix_dedup, op8_secret_scan, op9_sentencepiece, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_media_descriptors, op2_toxicity, op3_mix_sources, op4_ngram_jaccard, op5_ann, op6_token_counts, op7_suffix_dedup, op8_secret_scan, op9_sentencepiece, op10_quality)}
