@@ -32,12 +32,13 @@ from pyspark.sql import functions as F
 from .common import col, quoted
 
 SAMPLE, LONGEST = 3000, 20_000
-WINDOW, STRIDE, GRAM = 32, 16, 5
+WINDOW, STRIDE, GRAM, LEAD = 32, 16, 5, 48
 DICT_SIZE = 8192
 #: A toxic marker is in at least so many toxic texts, in such a share of them, and in so many times the share of ordinary ones.
 MARKER_TEXTS, MARKER_SHARE, MARKER_RATIO = 3, 0.012, 12.0
 AROUND = 1
-HIGH = 3
+#: Gains that a window stands out by.
+HIGH = (1, 2, 3, 4, 5)
 BLOCK = 128
 _WORDS = re.compile(r"\w{2,40}")
 
@@ -59,7 +60,8 @@ def _passages(texts: list[str], marked: set[str]) -> list[bytes]:
     for t in texts:
         for m in _WORDS.finditer(t):
             if m[0] in marked:
-                out.append(t[max(0, m.start() - AROUND) : m.end() + AROUND].encode())
+                raw = t[max(0, m.start() - AROUND) : m.end() + AROUND].encode()
+                out.append(raw if len(raw) >= 8 else raw + raw)  # the trainer ignores shorter ones
     return out
 
 
@@ -101,6 +103,9 @@ class Gains:
             return zstandard.ZstdCompressor(dict_data=d, compression_params=params)
 
         self.toxic, self.ordinary = compressor(special + base), compressor(base)
+        # Each window follows a stretch that both dictionaries hold: a short input that barely compresses would
+        # be stored as it is, and its gain be lost.  No match can reach over the bytes between the two.
+        self.lead = base[-LEAD:] + bytes(range(GRAM - 1))
         self.marked = np.zeros(1 << 18, bool)
         self.marked[_grams(special + base[:GRAM - 1])] = True
         self.marked[_grams(base)] = False
@@ -117,7 +122,7 @@ class Gains:
             windows = np.unique(np.concatenate([last, np.minimum(first, last)]))
             tox, ordi = self.toxic.compress, self.ordinary.compress
             for i in windows.tolist():
-                p = raw[i * STRIDE : i * STRIDE + WINDOW]
+                p = self.lead + raw[i * STRIDE : i * STRIDE + WINDOW]
                 gains[i] = len(ordi(p)) - len(tox(p))
         return gains
 
@@ -126,8 +131,8 @@ def summary(gains: np.ndarray) -> np.ndarray:
     """What the curve sees of a text: its largest gains, how many windows stand out, and how densely."""
     top = np.sort(gains)[::-1][:4]
     top = np.concatenate([top, np.zeros(4 - len(top))])
-    high = (gains > HIGH).sum()
-    return np.array([1.0, top[0], top[1], top[3], math.log1p(high), 100 * high / (len(gains) + 10)])
+    high = np.array([(gains > h).sum() for h in HIGH], float)
+    return np.concatenate([[1.0], top[[0, 1, 3]], np.log1p(high), 100 * high / (len(gains) + 10)])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
