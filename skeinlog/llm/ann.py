@@ -185,7 +185,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     lengths = [len(x) for x in picked.column("v").to_pylist()]
     width = max(set(lengths), key=lambda n: (lengths.count(n), n)) if lengths else 0
     rows, asked = rows.where(F.size("v") == width), asked.where(F.size("v") == width)
-    x = np.array([v for v in picked.column("v").to_pylist() if len(v) == width], np.float64).reshape(-1, width)
+    x = np.array([v for v in picked.column("v").to_pylist() if len(v) == width], np.float64)
     router, visits = fit(x, parts, k)
     parts = parts if router else 1
     shared = spark.sparkContext.broadcast(router)

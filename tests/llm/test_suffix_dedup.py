@@ -42,8 +42,9 @@ def test_removal_equals_brute_force(spark, data, monkeypatch, crowd):
 
 
 def test_repeated_rows_and_null_ids(spark):
-    long = "".join(chr(97 + i * 7 % 26) for i in range(150)) + "tail"
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcdefgh") for _ in range(154))
     df = spark.createDataFrame([(1, long, 0), (1, long, 0), (None, long, 0)], "doc_id long, text string, n int")
     out = sorted((str(r.doc_id), r.n_removed) for r in D.remove_repeats(df).collect())
-    assert out == [("1", len(long)), ("1", len(long)), ("None", 54)]
+    assert out == [("1", len(long)), ("1", len(long)), ("None", 0)]
     assert D.remove_repeats(df.where("false")).count() == 0
