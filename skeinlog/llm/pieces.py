@@ -194,7 +194,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
     model = Model(raw)
     shared = spark.sparkContext.broadcast(raw)
     keep = docs.columns if keep is None else keep
-    n_groups = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text, group, good = fresh(docs, "text__"), fresh(docs, "group__"), fresh(docs, "decodes")
     rows = docs.select(col(docs, text_col).alias(text), *[docs[quoted(c)] for c in keep])
     key = F.pmod(F.xxhash64(F.length(text), F.substring(text, 1, 64), *[F.col(quoted(c)) for c in keep if c != text_col]), F.lit(n_groups))
