@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,17 +60,51 @@ def suffix_array(text: bytes) -> list[int]:
     members: list[list[int]] = [[] for _ in symbols]
     for i, g in enumerate(group):
         members[g].append(i)
-    length, done = [1] * len(symbols), [False] * len(symbols)
+    length, size = [1] * len(symbols), list(map(len, members))
     below, above = list(range(-1, len(symbols) - 1)), [*range(1, len(symbols)), -1]
-    smaller = list(range(-1, n - 1))
+    smaller, closed = list(range(-1, n - 1)), bytearray(n)
     lowest, now = (0 if symbols else -1), len(symbols) - 1
+
+    def raise_(old: int, moved: list[int], times: int, by: int) -> None:
+        """Put suffixes of a group into a new one right above it; a group that moves as a whole only grows its prefix."""
+        if size[old] == len(moved):
+            length[old] += times * by
+            members[old] = moved
+            return
+        new, up = len(length), above[old]
+        length.append(length[old] + times * by)
+        size[old] -= len(moved)
+        size.append(len(moved))
+        members.append(moved)
+        below.append(old)
+        above.append(up)
+        above[old] = new
+        if up >= 0:
+            below[up] = new
+        for p in moved:
+            group[p] = new
+
     while now >= 0:
-        done[now] = True
-        mine = members[now] = [s for s in members[now] if group[s] == now]
+        mine = members[now]
+        if size[now] != len(mine):
+            mine = members[now] = [s for s in mine if group[s] == now]
+        if len(mine) == 1:
+            s = mine[0]
+            closed[s] = 1
+            p = smaller[s]
+            while p >= 0 and closed[p]:
+                p = smaller[p]
+            smaller[s] = p
+            if p >= 0:
+                raise_(group[p], [p], 1, length[now])
+            now = below[now]
+            continue
+        for s in mine:
+            closed[s] = 1
         pointers: dict[int, int] = {}
         for s in mine:
             p = smaller[s]
-            while p >= 0 and done[group[p]]:
+            while p >= 0 and closed[p]:
                 p = smaller[p]
             smaller[s] = p
             if p >= 0:
@@ -79,19 +114,9 @@ def suffix_array(text: bytes) -> list[int]:
             for p, times in pointers.items():
                 moving.setdefault((-times, group[p]), []).append(p)
             for times, old in sorted(moving):
-                new, moved = len(length), moving[times, old]
+                moved = moving[times, old]
                 moved.sort()
-                length.append(length[old] - times * length[now])
-                done.append(False)
-                members.append(moved)
-                up = above[old]
-                below.append(old)
-                above.append(up)
-                above[old] = new
-                if up >= 0:
-                    below[up] = new
-                for p in moved:
-                    group[p] = new
+                raise_(old, moved, -times, length[now])
         now = below[now]
     # Where each group starts, and which suffixes wait for which.
     free, at, g = [0] * len(length), 0, lowest
@@ -121,12 +146,18 @@ def suffix_array(text: bytes) -> list[int]:
 
 def repeated_windows(runs: list[tuple[tuple[int, int], bytes]], window: int = WINDOW) -> list[list[int]]:
     """For each run ((document, start), bytes): offsets of its windows that also start earlier in some run."""
+    # Windows whose hash is alone are alone; each run is trimmed to the stretch between its first and last other ones.
+    hashes = [[hash(raw[k : k + window]) for k in range(len(raw) - window + 1)] for _, raw in runs]
+    often = Counter(h for hs in hashes for h in hs)
     text, owner, offset = bytearray(), [], []
-    for k, (_, raw) in enumerate(runs):
-        text += raw
-        valid = len(raw) - window + 1
+    for k, ((_, raw), hs) in enumerate(zip(runs, hashes, strict=True)):
+        at = [i for i, h in enumerate(hs) if often[h] > 1]
+        if not at:
+            continue
+        valid = at[-1] - at[0] + 1
+        text += raw[at[0] : at[-1] + window]
         owner += [k] * valid + [-1] * (window - 1)
-        offset += range(len(raw))
+        offset += range(at[0], at[-1] + window)
         text.append(0)
         owner.append(-1)
         offset.append(0)
