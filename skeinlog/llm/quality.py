@@ -74,15 +74,26 @@ def term_counts(text: str) -> np.ndarray:
     return out
 
 
+def _matrix(texts: list[str]) -> np.ndarray:
+    x = np.empty((len(texts), N_TERMS), np.float32)
+    for i, t in enumerate(texts):
+        x[i] = term_counts(t)
+    return x
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    """Rows of length 1, in place: these matrices are the largest things around."""
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-12)
+    return x
 
 
 def fit(texts: list[str], labels: list[int], rank: int = RANK) -> dict:
     """Weights of the terms, the projection and the labelled rows' vectors.  Deterministic."""
-    x = np.log1p(np.array([term_counts(t) for t in texts], np.float32))
-    idf = np.log((1 + len(texts)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
-    x = _unit(x * idf)
+    x = _matrix(texts)
+    np.log1p(x, out=x)
+    idf = np.log((1 + len(texts)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + 1
+    x *= idf
+    x = _unit(x)
     rng = np.random.default_rng(0)
     q = np.linalg.qr(x @ rng.standard_normal((x.shape[1], min(rank + 10, len(texts)))).astype(np.float32))[0]
     for _ in range(4):
@@ -99,9 +110,11 @@ def scores_of(model: dict, texts: list[str | None], neighbours: int = NEIGHBOURS
     out = np.full(len(texts), prior)
     if not len(labels):
         return out
-    x = np.array([term_counts(t or "") for t in texts], np.float32)
+    x = _matrix([t or "" for t in texts])
     some = x.any(axis=1)
-    v = _unit((_unit(np.log1p(x) * model["idf"])) @ model["project"])
+    np.log1p(x, out=x)
+    x *= model["idf"]
+    v = _unit(_unit(x) @ model["project"])
     cos = v @ model["vectors"].T
     k = min(neighbours, len(labels))
     near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
