@@ -10,8 +10,8 @@ overlap.  Documents are therefore first brought together by the same idea of has
 that are similar enough differ in at most ``d`` shingles, so if the shingles are hashed into more than
 ``d`` groups, at least one group holds exactly the same shingles in both.  (level of size, group, content)
 is a key; sets that share a key, directly or over others, form a cluster, and no link leaves a cluster.
-One R-tree is built a cluster; clusters whose sets exceed ``BLOCK`` shingles are split into blocks, every
-pair of blocks a task of its own.
+One R-tree is built for each band of sizes of a cluster; what exceeds ``BLOCK`` shingles is split into
+blocks, every pair of blocks a task of its own.
 
 Equal sets are one node from the start, so copies never pair up.  Inside a task, boxes and pairs that are
 already connected are skipped: what is kept are links enough to connect what is connected, each of them
@@ -26,7 +26,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from .common import col, fresh, quoted, staged
 from .graph import components
 from .shingles import mix, shingle_set
 
-GROUPS = 32
+GROUPS = 128
 #: Most shingles of a task's sets; a cluster beyond that is split into blocks.
 BLOCK = 2_000_000
 #: Candidate sets up to this number are looked up in a broadcast array (8 bytes each), more by a join.
@@ -57,9 +58,13 @@ class Levels:
     def _upto(self, n: int) -> None:
         while self.first[-1] <= n or len(self.groups) < len(self.first) - 1:
             low = self.first[-1]
-            self.first.append(int(low * (100 / self.percent) ** 3) + 1)
+            self.first.append(int(low * (100 / self.percent) ** 2) + 1)
             d = 2 * (self.first[-1] - 1) * (100 - self.percent) // (100 + self.percent)
-            spare = d // 10 + 2 if d else 0
+            # As many groups more as the smallest set of the level is likely to leave empty.
+            least, spare = max(1.0, low * self.percent / 100), 0
+            for _ in range(8 if d else 0):
+                k = d + 1 + spare
+                spare = math.ceil(k * math.exp(-least / k) + 2 * math.sqrt(k * math.exp(-least / k)))
             self.groups.append((d + 1 + spare, spare))
 
     def of(self, n: int) -> list[int]:
@@ -118,44 +123,49 @@ def _stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return links[:, 0], links[:, 1], key[new], node[new]
 
 
-def _candidate_links(rows: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
-    """Links (a, b) between sets that share a key; enough of them to connect all that do."""
+def candidate_links(values: DataFrame, keyer: Callable, parts: int) -> DataFrame:
+    """Links (a, b) between nodes that share a key; enough of them to connect all that do.
+
+    ``values`` has one column; ``keyer()`` gives a worker's function from a value to None or to the node's name and
+    a function for its keys.
+    """
     spread = parts * 4
 
     def emit(links, part, key, node):
-        names = ["part", "key", "node", "a", "b"]
         order = np.argsort(part, kind="stable")
         cut = np.searchsorted(part[order], np.arange(spread + 1))
         out = []
         for p in range(spread):
             at = order[cut[p] : cut[p + 1]]
             if len(at):
-                out.append((p, key[at].tobytes(), node[at].tobytes(), None, None))
+                # 48 bits of the key beside its part; nodes as places in the packet's own list.
+                high = np.ascontiguousarray(key[at] >> _U(16)).view(np.uint8).reshape(-1, 8)[:, :6]
+                nodes, place = np.unique(node[at], return_inverse=True)
+                kind = np.uint16 if len(nodes) <= 1 << 16 else np.uint32
+                out.append((p, np.ascontiguousarray(high).tobytes(), place.astype(kind).tobytes(), nodes.tobytes(), None, None))
         if len(links[0]):
-            out.append((int(links[0][0] % _U(spread)), None, None, links[0].tobytes(), links[1].tobytes()))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 5
-        types = [pa.int32(), *[pa.binary()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+            out.append((int(links[0][0] % _U(spread)), None, None, None, links[0].tobytes(), links[1].tobytes()))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 6
+        types = [pa.int32(), *[pa.binary()] * 5]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["part", "key", "place", "node", "a", "b"])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, seen, keys, nodes, n = Levels(percent), set(), [], [], 0
+        read, seen, keys, nodes, n = keyer(), set(), [], [], 0
 
         def flush():
             a, b, key, node = _stars(np.concatenate(keys), np.concatenate(nodes))
             return emit((a, b), (key % _U(spread)).astype(np.int64), key, node)
 
         for batch in batches:
-            for text in batch.column(0):
-                h = shingle_set(text.as_py(), width)
-                if not len(h):
-                    continue
-                name = _identity(h)[0]
-                if name in seen:
+            for value in batch.column(0):
+                found = read(value.as_py())
+                if found is None or found[0] in seen:
                     continue
+                name, make = found
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(name)
-                k = levels.keys(h)
+                k = make()
                 keys.append(k)
                 nodes.append(np.full(len(k), name, _U))
                 n += len(k)
@@ -169,9 +179,17 @@ def _candidate_links(rows: DataFrame, width: int, percent: int, parts: int) -> D
         key, node, a, b = [], [], [], []
         for batch in batches:
             for part in batch.to_pylist():
-                for name, to in (("key", key), ("node", node), ("a", a), ("b", b)):
-                    if part[name] is not None:
-                        to.append(np.frombuffer(part[name], _U))
+                if part["key"] is not None:
+                    n = len(part["key"]) // 6
+                    wide = np.zeros((n, 8), np.uint8)
+                    wide[:, :6] = np.frombuffer(part["key"], np.uint8).reshape(n, 6)
+                    # The part goes back into the key: equal bits in two parts are different keys.
+                    key.append(mix(wide.view(_U).ravel() * _U(spread) + _U(part["part"])))
+                    place = np.frombuffer(part["place"], np.uint16 if len(part["place"]) == 2 * n else np.uint32)
+                    node.append(np.frombuffer(part["node"], _U)[place])
+                if part["a"] is not None:
+                    a.append(np.frombuffer(part["a"], _U))
+                    b.append(np.frombuffer(part["b"], _U))
         if key:
             x, y, _, _ = _stars(np.concatenate(key), np.concatenate(node))
             a.append(x)
@@ -180,10 +198,23 @@ def _candidate_links(rows: DataFrame, width: int, percent: int, parts: int) -> D
             pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
             yield pa.RecordBatch.from_arrays([_signed(pairs[:, 0]), _signed(pairs[:, 1])], names=["a", "b"])
 
-    sent = rows.select("x_").mapInArrow(keyed, "part int, key binary, node binary, a binary, b binary")
+    sent = values.mapInArrow(keyed, "part int, key binary, place binary, node binary, a binary, b binary")
     return sent.repartition(parts, "part").mapInArrow(met, "a long, b long")
 
 
+def _set_keyer(width: int, percent: int) -> Callable:
+    def make():
+        levels = Levels(percent)
+
+        def read(text: str | None):
+            h = shingle_set(text, width)
+            return (_identity(h)[0], lambda: levels.keys(h)) if len(h) else None
+
+        return read
+
+    return make
+
+
 class Union:
     """Disjoint sets of 0..n-1."""
 
@@ -239,7 +270,7 @@ def _may_link(x: dict, y: dict, percent: int) -> bool:
     """Whether the boxes can hold a linked pair: their sizes, and the overlap that their corners allow."""
     if 100 * x["most"] < percent * y["least"] or 100 * y["most"] < percent * x["least"]:
         return False
-    return (100 + percent) * int(np.minimum(x["hi"], y["hi"]).sum()) >= percent * (x["least"] + y["least"])
+    return (100 + percent) * int(np.minimum(x["hi"], y["hi"]).sum(dtype=np.int64)) >= percent * (x["least"] + y["least"])
 
 
 def verified_links(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -248,7 +279,8 @@ def verified_links(sets: list[np.ndarray], percent: int, sides: np.ndarray | Non
     if n < 2:
         return []
     sizes = np.array([len(s) for s in sets])
-    points = np.stack([np.bincount((s >> _U(7)).astype(np.int64) % GROUPS, minlength=GROUPS) for s in sets]).astype(np.int32)
+    points = np.stack([np.bincount((s >> _U(7)).astype(np.int64) % GROUPS, minlength=GROUPS) for s in sets])
+    points = points.astype(np.uint16 if points.max() < 1 << 16 else np.int32)
     tree, union, out = CountTree(points, sizes), Union(n), []
 
     def one(node: dict) -> int:
@@ -262,7 +294,8 @@ def verified_links(sets: list[np.ndarray], percent: int, sides: np.ndarray | Non
 
     def verify(i: int, j: int) -> None:
         if union.find(i) != union.find(j) and (sides is None or sides[i] != sides[j]):
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            a, b = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
+            both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
             if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 union.join(i, j)
                 out.append((i, j))
@@ -272,7 +305,7 @@ def verified_links(sets: list[np.ndarray], percent: int, sides: np.ndarray | Non
         if same >= 0 and same == one(y):
             return
         a, b = x["at"], y["at"]
-        bound = np.minimum(points[a][:, None, :], points[b][None, :, :]).sum(2)
+        bound = np.minimum(points[a][:, None, :], points[b][None, :, :]).sum(2, dtype=np.int64)
         ok = (100 + percent) * bound >= percent * (sizes[a][:, None] + sizes[b][None, :])
         if x is y:
             ok = np.triu(ok, 1)
@@ -299,14 +332,27 @@ def verified_links(sets: list[np.ndarray], percent: int, sides: np.ndarray | Non
     return out
 
 
-def _true_links(rows: DataFrame, clusters: DataFrame, width: int, percent: int, block: int) -> DataFrame:
-    """Verified links (a, b) inside the clusters."""
+def _true_links(rows: DataFrame, named: DataFrame, clusters: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """Verified links (a, b) inside the clusters.
+
+    Sizes of linked sets differ by a bounded ratio, so a cluster is cut into bands of that ratio: each set goes to its
+    own band's task and, as a smaller partner, to the next one's.
+    """
     spark = rows.sparkSession
-    n = clusters.count()
+    ratio = math.log(100 / percent) * 1.0001
+    sized = clusters.join(named.where("n > 0").select(F.col("set_a").alias("node"), "n").distinct(), "node")
+    own = F.floor(F.log("n") / ratio).cast("int")
+    banded = sized.select("node", "root", "n", F.explode(F.array(own, own + 1)).alias("band"), own.alias("own"))
+    weight = banded.groupBy("root", "band").agg(
+        F.ceil(F.sum("n") / block).cast("int").alias("blocks"), F.count("*").alias("sets"), F.count_if(F.col("own") == F.col("band")).alias("here")
+    )
+    weight = weight.where("sets > 1 and here > 0").select("root", "band", "blocks")
+    places = staged(banded.join(weight, ["root", "band"]).select("node", "root", "band", "blocks"), "places")
+    n = places.count()
     wanted = None
     if n <= LOOKUP:
         # A bounded array of set names, no document: lets the scan drop all other sets where it runs.
-        ids = np.sort(np.array([r[0] for r in clusters.select("node").toLocalIterator()], np.int64))
+        ids = np.unique(np.array([r[0] for r in places.select("node").toLocalIterator()], np.int64))
         wanted = spark.sparkContext.broadcast(ids)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,23 +378,25 @@ def _true_links(rows: DataFrame, clusters: DataFrame, width: int, percent: int,
             cols = list(zip(*out, strict=True)) if out else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=names)
 
-    sets = rows.select("x_").mapInArrow(found, "node long, size long, h binary").join(clusters, "node")
-    sets = staged(sets.dropDuplicates(["node"]), "sets")
-    weight = sets.groupBy("root").agg(F.ceil(F.sum("size") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
-    placed = sets.join(weight, "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sets = rows.select("x_").mapInArrow(found, "node long, size long, h binary")
+    placed = sets.join(F.broadcast(places) if n <= LOOKUP else places, "node")
+    placed = placed.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "h")
+    placed = placed.select("root", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "h")
 
     def link(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        t = t.sort_by("node")
-        node = t.column("node").to_numpy()
-        hs = [np.frombuffer(x.as_buffer(), _U) for x in t.column("h")]
-        i, j = key[1].as_py(), key[2].as_py()
-        sides = None if i == j else t.column("mine").to_numpy()
+        # A set that several scan tasks met is here as often.
+        node, first = np.unique(t.column("node").to_numpy(), return_index=True)
+        h = t.column("h")
+        hs = [np.frombuffer(h[k].as_buffer(), _U) for k in first.tolist()]
+        i, j = key[2].as_py(), key[3].as_py()
+        sides = None if i == j else t.column("mine").to_numpy()[first]
         pairs = verified_links(hs, percent, sides)
         return pa.table({"a": pa.array([node[x] for x, _ in pairs], pa.int64()), "b": pa.array([node[y] for _, y in pairs], pa.int64())})
 
-    return placed.groupBy("root", "i", "j").applyInArrow(link, "a long, b long")
+    # Small clusters are not worth merging into few tasks: their work isn't their size.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(parts, "root", "band", "i", "j").groupBy("root", "band", "i", "j").applyInArrow(link, "a long, b long")
 
 
 def similar_documents(
@@ -374,9 +422,9 @@ def similar_documents(
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["i_", "n", "set_a", "set_b"])
 
     sets = staged(rows.mapInArrow(named, schema), "named")
-    links = staged(_candidate_links(rows, width, percent, parts), "candidates")
+    links = staged(candidate_links(rows.select("x_"), _set_keyer(width, percent), parts), "candidates")
     clusters = staged(components(links), "clusters")
-    true = components(staged(_true_links(rows, clusters, width, percent, block), "links"))
+    true = components(staged(_true_links(rows, sets, clusters, width, percent, block), "links"))
     # Per set the smallest id; per component the smallest of its sets.
     least = sets.where("n > 0").groupBy("set_a").agg(F.min("i_").alias("least")).join(true.withColumnRenamed("node", "set_a"), "set_a", "left")
     least = least.withColumn("root", F.coalesce("root", "set_a"))
