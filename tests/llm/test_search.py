@@ -63,6 +63,33 @@ def test_copies_of_pictures(spark):
     assert media.find_copies(shown.where("false")).count() == 0
 
 
+def altered(p, degrees=0.0, scale=1.0, noise=0.0, seed=0):
+    """Turned around the middle, resized, with noise."""
+    h, w = p.shape
+    a = np.deg2rad(degrees)
+    y, x = np.mgrid[0 : round(h * scale), 0 : round(w * scale)]
+    y, x = (y - (round(h * scale) - 1) / 2) / scale, (x - (round(w * scale) - 1) / 2) / scale
+    y, x = np.cos(a) * y - np.sin(a) * x + (h - 1) / 2, np.sin(a) * y + np.cos(a) * x + (w - 1) / 2
+    y, x = np.clip(y, 0, h - 1.001), np.clip(x, 0, w - 1.001)
+    i, j = y.astype(int), x.astype(int)
+    f, g = y - i, x - j
+    out = p[i, j] * (1 - f) * (1 - g) + p[i, j + 1] * (1 - f) * g + p[i + 1, j] * f * (1 - g) + p[i + 1, j + 1] * f * g
+    return media.decode(media.encode_pgm(out + np.random.default_rng(seed).normal(0, noise, out.shape)))
+
+
+@pytest.mark.parametrize("change", [{"degrees": 15.0}, {"degrees": 100.0}, {"noise": 6.0}, {"noise": 12.0}])
+def test_recall_against_consensus_of_all_pairs(change):
+    rng = np.random.default_rng(4)
+    whole = [media.decode(media.encode_pgm(media.drawn(rng.standard_normal(64)))) for _ in range(40)]
+    a, b = [media.describe(p) for p in whole], [media.describe(altered(p, **change, seed=n)) for n, p in enumerate(whole)]
+    wanted = [n for n in range(40) if media.consensus(a[n], b[n]) >= media.INLIERS]
+    assert len(wanted) >= 20
+    links = media._links(list(range(80)), a + b, None)
+    assert all(y == x + 40 for x, y in links)
+    print("recall", change, len(links), "of", len(wanted))
+    assert len(links) >= 0.97 * len(wanted)
+
+
 def test_png():
     import struct
     import zlib
