@@ -77,7 +77,7 @@ def altered(p, degrees=0.0, scale=1.0, noise=0.0, seed=0):
     return media.decode(media.encode_pgm(out + np.random.default_rng(seed).normal(0, noise, out.shape)))
 
 
-@pytest.mark.parametrize("change", [{"degrees": 15.0}, {"degrees": 100.0}, {"noise": 6.0}, {"noise": 12.0}])
+@pytest.mark.parametrize("change", [{"degrees": 15.0}, {"degrees": 100.0}, {"scale": 1.3}, {"noise": 6.0}, {"noise": 12.0}])
 def test_recall_against_consensus_of_all_pairs(change):
     rng = np.random.default_rng(4)
     whole = [media.decode(media.encode_pgm(media.drawn(rng.standard_normal(64)))) for _ in range(40)]
@@ -87,7 +87,16 @@ def test_recall_against_consensus_of_all_pairs(change):
     links = media._links(list(range(80)), a + b, None)
     assert all(y == x + 40 for x, y in links)
     print("recall", change, len(links), "of", len(wanted))
-    assert len(links) >= 0.97 * len(wanted)
+    assert len(links) >= (0.7 if "scale" in change else 0.97) * len(wanted)
+
+
+def test_small_crop_of_a_large_picture(spark):
+    rng = np.random.default_rng(6)
+    large = [media.drawn(rng.standard_normal(484), 240) for _ in range(6)]
+    rows = [(n, media.encode_pgm(p)) for n, p in enumerate(large)]
+    rows += [(10 + n, media.encode_pgm(p[20 + 9 * n : 96 + 9 * n, 120 - 11 * n : 196 - 11 * n])) for n, p in enumerate(large)]
+    out = {r.image_id: r for r in media.find_copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    assert all(out[10 + n].component_id == n and out[n].n_copies == 2 for n in range(6))
 
 
 def test_png():
