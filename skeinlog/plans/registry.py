@@ -230,6 +230,22 @@ def q_parse_epoch(spark, sf_dir):
     return df.withColumn("micros", F.unix_micros(timestamps.parse_epoch(F.col("n"))))
 
 
+#: In range for any id: the value wraps, all rows stay.
+_EPOCH_ALL = _EPOCH.replace("event_id *", "event_id % 80000 *")
+
+
+@registered(
+    f"""select event_id, n, case when n > 100000000000 and n < 100000000000000 then n * 1000 when n >= 100000000000000 and n < 100000000000000000 then n
+    when n >= 100000000000000000 then n // 1000 else n * 1000000 end as micros from (select event_id, {_EPOCH_ALL} as n from events)""",
+    with_logs=False,
+)
+def q_parse_epoch_all(spark, sf_dir):
+    """Over every event; ``q_parse_epoch`` ends at an id."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    df = events.select("event_id", F.expr(_EPOCH_ALL).cast("long").alias("n"))
+    return df.withColumn("micros", F.unix_micros(timestamps.parse_epoch(F.col("n"))))
+
+
 @registered(
     """select doc_id, n - 1 as pos, value from (select doc_id, unnest(string_split(text, chr(10))) as value,
     unnest(range(1, len(string_split(text, chr(10))) + 1)) as n from documents) where value <> ''""",

@@ -41,3 +41,11 @@ def test_time_bounds_prune_partitions(spark, data, tmp_path):
     assert [r.id for r in run_newest_segments(store.read(), q, parts).collect()] == [r.id for r in store.query(q).collect()]
     dropped, freed = store.prune(datetime(2030, 1, 1), max_bytes=1 << 40)
     assert dropped == len(parts) and freed > 0 and store.segments() == []
+
+
+def test_epoch_of_every_event(spark):
+    """Over ids that the narrower query leaves out."""
+    folder = "/root/testdata/sf0.1"
+    out = registry.QUERIES["q_parse_epoch_all"](spark, folder)
+    assert out.count() == spark.read.parquet(f"{folder}/events.parquet").count() == 100_000
+    same_rows(out, registry.ORACLE["q_parse_epoch_all"], folder)
