@@ -179,6 +179,20 @@ def q_parse_json(spark, sf_dir):
     return out.select("id", F.unix_micros("e.timestamp").alias("micros"), "e.host", "e.source", "e.level", "e.message", F.col("e.error").isNotNull().alias("failed"), *fields)
 
 
+@registered(
+    f"""select id, epoch_us(date_trunc('second', ts)) as micros, host, case when seq % 5 = 0 then 'app' else source end as source, level, message, false as failed,
+    k as extra, 'prod' as env from logs where not ({_JSON_FAILED})
+    union all select id, {_NOW_MICROS}, 'edge-1', 'app', 'INFO', {_JSON_LINE}, true, null, null
+    from (select *, epoch(date_trunc('second', ts))::bigint as epoch_s from logs) where {_JSON_FAILED}"""
+)
+def q_parse_json_all(spark, sf_dir):
+    """Every line, those that fail too; ``q_parse_json`` leaves them out."""
+    df = _json_lines(spark, sf_dir).withColumn("p", parse.parse_json(F.col("line"), _CTX, _now()))
+    e = parse.with_fallback(F.col("p"), F.col("line"), _CTX, _now())
+    fields = [F.try_element_at("e.fields", F.lit(x)).alias(y) for x, y in (("Extra", "extra"), ("env", "env"))]
+    return _parsed(df, e, "id", "e").select("id", "micros", "host", "source", "level", "message", "failed", *fields)
+
+
 @registered(
     f"""select id, case when {_JSON_FAILED} then {_NOW_MICROS}::bigint else epoch_us(date_trunc('second', ts)) end as micros,
     case when {_JSON_FAILED} then 'edge-1' else host end as host, case when {_JSON_FAILED} or seq % 5 = 0 then 'app' else source end as source,

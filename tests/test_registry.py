@@ -49,3 +49,12 @@ def test_epoch_of_every_event(spark):
     out = registry.QUERIES["q_parse_epoch_all"](spark, folder)
     assert out.count() == spark.read.parquet(f"{folder}/events.parquet").count() == 100_000
     same_rows(out, registry.ORACLE["q_parse_epoch_all"], folder)
+
+
+def test_json_lines_that_fail(spark, data):
+    """Every line, the malformed ones with default values, which the narrower query leaves out."""
+    out = registry.QUERIES["q_parse_json_all"](spark, data).collect()
+    failed = [r for r in out if r.failed]
+    assert (len(out), len(failed)) == (1000, 91)
+    assert {(r.micros, r.host, r.source, r.level, r.extra, r.env) for r in failed} == {(1706745600000000, "edge-1", "app", "INFO", None, None)}
+    assert all(r.message.endswith("} x") for r in failed)
