@@ -312,20 +312,32 @@ def q_normalize(spark, sf_dir):
     return _checked(spark, sf_dir).select("id", "host", "level", F.col("_error").alias("error"))
 
 
+def _new_entries(df):
+    raw = df.withColumns({
+        "level": F.when(F.col("seq") % 3 == 0, "  ").when(F.col("seq") % 3 == 1, F.concat(F.lit(" "), F.lower("level"), F.lit(" "))).otherwise(F.col("level")),
+        "host": F.concat(F.lit("  "), "host", F.lit(" ")), "timestamp": F.lit(None).cast("timestamp"),
+    })
+    return ingest.normalise(raw, _now(), F.col("id"))
+
+
 @registered(
     """select id, row_number() over (order by seq) - 1 as rank, case when trim(lvl) = '' then 'INFO' else upper(trim(lvl)) end as level, trim(h) as host
     from (select *, case seq % 3 when 0 then '  ' when 1 then ' ' || lower(level) || ' ' else level end as lvl, '  ' || host || ' ' as h from logs) where seq < 500"""
 )
 def q_new_entries(spark, sf_dir):
-    df = logs(spark, sf_dir).where("seq < 500")
-    raw = df.withColumns({
-        "level": F.when(F.col("seq") % 3 == 0, "  ").when(F.col("seq") % 3 == 1, F.concat(F.lit(" "), F.lower("level"), F.lit(" "))).otherwise(F.col("level")),
-        "host": F.concat(F.lit("  "), "host", F.lit(" ")), "timestamp": F.lit(None).cast("timestamp"),
-    })
-    out = ingest.normalise(raw, _now(), F.col("id"))
+    out = _new_entries(logs(spark, sf_dir).where("seq < 500"))
     return out.select("id", (F.row_number().over(Window.orderBy("seq")) - 1).alias("rank"), "level", "host")
 
 
+@registered(
+    """select id, case when trim(lvl) = '' then 'INFO' else upper(trim(lvl)) end as level, trim(h) as host
+    from (select *, case seq % 3 when 0 then '  ' when 1 then ' ' || lower(level) || ' ' else level end as lvl, '  ' || host || ' ' as h from logs)"""
+)
+def q_new_entries_all(spark, sf_dir):
+    """Over all logs, row by row; ``q_new_entries`` takes 500 and ranks them in one task."""
+    return _new_entries(logs(spark, sf_dir)).select("id", "level", "host")
+
+
 @registered("select user_id, min(seq) as first_seq, count(*) - 1 as duplicates from logs group by user_id")
 def q_dedup_first(spark, sf_dir):
     df = logs(spark, sf_dir).withColumn("user_id", F.col("user_id").cast("string"))

@@ -58,3 +58,9 @@ def test_json_lines_that_fail(spark, data):
     assert (len(out), len(failed)) == (1000, 91)
     assert {(r.micros, r.host, r.source, r.level, r.extra, r.env) for r in failed} == {(1706745600000000, "edge-1", "app", "INFO", None, None)}
     assert all(r.message.endswith("} x") for r in failed)
+
+
+def test_new_entries_of_every_event(spark, data):
+    out = registry.QUERIES["q_new_entries_all"](spark, data)
+    assert out.count() == 1000
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
