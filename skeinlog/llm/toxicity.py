@@ -4,9 +4,7 @@ Words of labelled toxic texts that ordinary texts hardly have mark where the tox
 dictionary is trained on those passages, one on ordinary text.  Both compressors get the ordinary
 dictionary's content as common ground, the toxic one has the toxic dictionary before it.  A window of
 ``WINDOW`` bytes, every ``STRIDE`` bytes, is compressed with both: its gain is the ordinary length minus the
-toxic length.  A window that holds no ``GRAM`` bytes in a row which only the toxic dictionary has gives
-both compressors the same matches, so its gain is 0 without compressing (``GRAM`` is the shortest match).
-A text's largest gains and the number and density of windows that stand out go through a logistic curve,
+toxic length; every window is compressed (``GRAM`` bytes are the shortest match).  A text's largest gains and the number and density of windows that stand out go through a logistic curve,
 calibrated on labelled texts that its dictionaries haven't seen.
 
 Training uses a bounded sample: ``SAMPLE`` labelled rows a class in order of the md5 of their id, texts of
@@ -79,15 +77,6 @@ def _trained(samples: list[bytes], size: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def _grams(raw: bytes) -> np.ndarray:
-    """A slot of the gram table for each place of ``raw`` where ``GRAM`` bytes start."""
-    n = len(raw) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    at = np.ndarray((n,), "<u8", raw + b"\0" * 8, strides=(1,)) & np.uint64((1 << 8 * GRAM) - 1)
-    return ((at * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-
-
 class Gains:
     """Compressors of a fitted model; made once a worker."""
 
@@ -106,25 +95,14 @@ class Gains:
         # Each window follows a stretch that both dictionaries hold: a short input that barely compresses would
         # be stored as it is, and its gain be lost.  No match can reach over the bytes between the two.
         self.lead = base[-LEAD:] + bytes(range(GRAM - 1))
-        self.marked = np.zeros(1 << 18, bool)
-        self.marked[_grams(special + base[:GRAM - 1])] = True
-        self.marked[_grams(base)] = False
 
     def of(self, text: str) -> np.ndarray:
         """Gain of every window of the whole text."""
         raw = text.lower().encode("utf-8", "replace")
         n = max(1, -(-max(0, len(raw) - WINDOW) // STRIDE) + 1)
-        gains = np.zeros(n)
-        hits = np.flatnonzero(self.marked[_grams(raw)])
-        if len(hits):
-            last = np.minimum(hits // STRIDE, n - 1)
-            first = np.maximum(0, -((WINDOW - GRAM - hits) // STRIDE))
-            windows = np.unique(np.concatenate([last, np.minimum(first, last)]))
-            tox, ordi = self.toxic.compress, self.ordinary.compress
-            for i in windows.tolist():
-                p = self.lead + raw[i * STRIDE : i * STRIDE + WINDOW]
-                gains[i] = len(ordi(p)) - len(tox(p))
-        return gains
+        tox, ordi, lead = self.toxic.compress, self.ordinary.compress, self.lead
+        windows = (lead + raw[at : at + WINDOW] for at in range(0, n * STRIDE, STRIDE))
+        return np.fromiter((len(ordi(w)) - len(tox(w)) for w in windows), float, n)
 
 
 def summary(gains: np.ndarray) -> np.ndarray:

@@ -61,6 +61,14 @@ def test_skipped_windows_have_no_gain():
             assert x == len(g.ordinary.compress(p)) - len(g.toxic.compress(p))
 
 
+def test_special_word_of_ordinary_parts():
+    """Each stretch of ``GRAM`` bytes of the word is somewhere in the ordinary dictionary, the word is not."""
+    word, n = "grumblefoosnarkzilla", toxicity.GRAM
+    parts = "".join(f"{i:03d}{word[i : i + n]}#" for i in range(len(word) - n + 1))
+    g = toxicity.Gains(word.encode(), (parts + "some ordinary text " * 9).encode())
+    assert g.of(f"12 {word} 34").max() > 0
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, 5), (2, "", 6), (2, "", 6), (3, "x" * 300_000, 7)], "doc_id long, text string, score int")
     none = spark.createDataFrame([], "doc_id long, label int")
