@@ -41,8 +41,8 @@ from .shingles import mix, shingle_set
 GROUPS = 128
 #: Most shingles of a task's sets; a cluster beyond that is split into blocks.
 BLOCK = 2_000_000
-#: Candidate sets up to this number are looked up in a broadcast array (8 bytes each), more by a join.
-LOOKUP = 2_000_000
+#: The filter of candidate sets' names has two to this power bits, whatever the input.
+FILTER_BITS = 26
 LEAF = 48
 #: Keys that a map task gathers before it passes them on.
 GATHER = 3_000_000
@@ -332,6 +332,29 @@ def verified_links(sets: list[np.ndarray], percent: int, sides: np.ndarray | Non
     return out
 
 
+def _slots(names: np.ndarray, size: int) -> np.ndarray:
+    """Three of a filter's ``size`` bits for each name."""
+    h = mix(names.view(_U))
+    return (np.stack([h, h >> _U(32), mix(h)]) & _U(size - 1)).astype(np.int64)
+
+
+def _name_filter(names: DataFrame) -> np.ndarray:
+    """A Bloom filter of ``1 << FILTER_BITS`` bits, made on the executors; only bits reach the driver."""
+    size = 1 << FILTER_BITS
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.zeros(size // 8, np.uint8)
+        for batch in batches:
+            slots = _slots(batch.column(0).to_numpy(zero_copy_only=False), size).ravel()
+            np.bitwise_or.at(x, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros(size // 8, np.uint8)
+    for row in names.coalesce(8).mapInArrow(bits, "bits binary").toLocalIterator():
+        out |= np.frombuffer(row[0], np.uint8)
+    return out
+
+
 def _true_links(rows: DataFrame, named: DataFrame, clusters: DataFrame, width: int, percent: int, block: int) -> DataFrame:
     """Verified links (a, b) inside the clusters.
 
@@ -348,12 +371,8 @@ def _true_links(rows: DataFrame, named: DataFrame, clusters: DataFrame, width: i
     )
     weight = weight.where("sets > 1 and here > 0").select("root", "band", "blocks")
     places = staged(banded.join(weight, ["root", "band"]).select("node", "root", "band", "blocks"), "places")
-    n = places.count()
-    wanted = None
-    if n <= LOOKUP:
-        # A bounded array of set names, no document: lets the scan drop all other sets where it runs.
-        ids = np.unique(np.array([r[0] for r in places.select("node").toLocalIterator()], np.int64))
-        wanted = spark.sparkContext.broadcast(ids)
+    # Lets the scan drop most other sets where it runs; the join drops the rest.
+    wanted = spark.sparkContext.broadcast(_name_filter(places.select("node")))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -367,10 +386,9 @@ def _true_links(rows: DataFrame, named: DataFrame, clusters: DataFrame, width: i
                 name = int(np.array([_identity(h)[0]], _U).view(np.int64)[0])
                 if name in seen:
                     continue
-                if wanted is not None:
-                    i = np.searchsorted(wanted.value, name)
-                    if i == len(wanted.value) or wanted.value[i] != name:
-                        continue
+                slots = _slots(np.array([name], np.int64), 8 * len(wanted.value))
+                if not (wanted.value[slots >> 3] >> (slots & 7) & 1).all():
+                    continue
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(name)
@@ -379,7 +397,7 @@ def _true_links(rows: DataFrame, named: DataFrame, clusters: DataFrame, width: i
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=names)
 
     sets = rows.select("x_").mapInArrow(found, "node long, size long, h binary")
-    placed = sets.join(F.broadcast(places) if n <= LOOKUP else places, "node")
+    placed = sets.join(places, "node")
     placed = placed.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("root", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "h")

@@ -76,3 +76,16 @@ def test_edges_and_small_blocks(spark):
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == [3, 5, 7, 8, 9]
     assert J.similar_documents(df.where("false")).count() == 0
+
+
+def test_one_plan_whatever_the_filter_lets_through(spark, monkeypatch):
+    texts = [f"w{n // 3} " + " ".join(f"t{n // 3}_{k}" for k in range(60)) + f" end{n % 3}" for n in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = spark.createDataFrame([(n * 7919,) for n in range(50)], "node long")
+    found = J._name_filter(names)
+    assert 100 < np.bitwise_count(found).sum() <= 150
+    seen = []
+    for bits in (26, 3):  # 8 bits let all sets through
+        monkeypatch.setattr(J, "FILTER_BITS", bits)
+        seen.append({r.doc_id: r.component_id for r in J.similar_documents(docs).collect()})
+    assert seen[0] == seen[1] == {n: n // 3 * 3 for n in range(60)}
