@@ -155,6 +155,15 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def _ranked(ids: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By cost and id, each pair of them once."""
+    order = np.lexsort((ids, cost))
+    ids, cost = ids[order], cost[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (cost[1:] != cost[:-1])
+    return ids[new], cost[new]
+
+
 def _best(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Per query the ids and exact scores of its ``k`` best, ties by id."""
     slack = 1e-9 * max(1.0, float(np.abs(v).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, v.shape[1]))
@@ -167,14 +176,18 @@ def _best(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
         for i in range(len(s)):
             j = np.flatnonzero((s[i] >= edge[i] - slack) & (s[i] > -np.inf))
             exact = (v[j] * q[at + i]).sum(1)  # the same order of additions for every pair
-            order = np.lexsort((ids[j], -exact))[:k]
-            yield int(query_ids[at + i]), ids[j][order], exact[order]
+            found, cost = _ranked(ids[j], -exact)
+            if len(found) < k and len(j) < (s[i] > -np.inf).sum():  # repeats filled places
+                j = np.flatnonzero(s[i] > -np.inf)
+                found, cost = _ranked(ids[j], -(v[j] * q[at + i]).sum(1))
+            yield int(query_ids[at + i]), found[:k], -cost[:k]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query, by inner product."""
     spark = vectors.sparkSession
-    rows = _valid(vectors, id_col, vector_col)
+    # Repeated rows would fill the places of different neighbours.
+    rows = _valid(vectors, id_col, vector_col).distinct()
     asked = _valid(queries, id_col, vector_col)
     total = rows.count()
     parts = 1

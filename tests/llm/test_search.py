@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skeinlog.llm import ann, media
 
@@ -40,6 +41,20 @@ def test_recall_and_scores(spark, monkeypatch, per_part):
     assert hit / (20 * 60) >= (1.0 if per_part == 3000 else 0.9)
 
 
+def test_repeated_rows_take_no_places(spark):
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((60, 8)).astype(np.float32).astype(float)
+    once = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    often = once.withColumn("n", F.explode(F.sequence(F.lit(1), F.when(F.col("vec_id") == 7, 300).otherwise(2)))).drop("n")
+    by = {}
+    for r in ann.nearest(often, once.where("vec_id < 6"), k=20).collect():
+        by.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert {q: [i for _, i in sorted(x)] for q, x in by.items()} == {q: [i for i, _ in exact(v, np.arange(60), q, 20)] for q in range(6)}
+    # Two vectors of one id with equal scores.
+    ids, w = np.array([1, 1, 2, 3]), np.array([[1.0, 2.0], [1.0, 3.0], [0.5, 0.0], [0.2, 0.0]])
+    assert [list(x[1]) for x in ann._best(ids, w, np.array([9]), np.array([[1.0, 0.0]]), 2)] == [[1, 2]]
+
+
 def test_bad_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [0.5, 0.5]), (None, [1.0, 1.0]), (8, [1.0, 0.0])]
