@@ -51,8 +51,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     per = per.withColumn("rest_weight", F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing)))
     per = per.withColumn("budget", F.sum("source_size").over(everything) * F.lit(share))
     level = (F.col("budget") - F.col("capped")) / F.col("rest_weight")
-    # The first source whose cap lies above the level that it and all after it would share sets the level.
-    per = per.withColumn("level", F.min(F.when(F.col("cap") / F.col("weight") > level, level)).over(everything))
+    # The level rises while sources below it are capped and falls behind the first that isn't: the largest is the one.
+    per = per.withColumn("level", F.max(F.when(F.col("cap") / F.col("weight") > level, level)).over(everything))
     target = F.coalesce(F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level")), F.col("cap").cast("double"))
     return per.select("src", "rank", "source_size", target.alias("target"), "budget")
 

@@ -7,15 +7,16 @@ from . import mixing, secret_scan
 _SPACE = r"[^\x20\x09-\x0D]+"
 
 _MIX = rf"""
-with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '{_SPACE}')), 0)::bigint as size from documents),
+with recursive d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '{_SPACE}')), 0)::bigint as size from documents),
 per as (select source, sum(size)::bigint as source_size from d group by source),
 ranked as (select *, row_number() over (order by encode(source) nulls last) - 1 as rnk from per),
 weighted as (select *, case rnk % 3 {" ".join(f"when {i} then {w}::double" for i, w in enumerate(mixing.WEIGHTS))} end as weight,
     source_size * {mixing.MOST} as cap, (sum(source_size) over ()) * {mixing.SHARE}::double as budget from ranked),
-filled as (select *, coalesce(sum(cap) over (order by cap / weight, rnk rows between unbounded preceding and 1 preceding), 0) as capped,
-    sum(weight) over (order by cap / weight, rnk rows between current row and unbounded following) as rest_weight from weighted),
-levels as (select *, min(case when cap / weight > (budget - capped) / rest_weight then (budget - capped) / rest_weight end) over () as level from filled),
-targets as (select source, rnk, source_size, budget, coalesce(least(cap::double, weight * level), cap::double) as target from levels),
+-- All share by weight; whoever is above its cap stays there and the others share what is left, until nobody is.
+pour as (select 0 as turn, max(budget) / sum(weight) as level from weighted
+    union all select max(p.turn) + 1, (max(budget) - coalesce(sum(cap) filter (weight * level >= cap), 0)) / sum(weight) filter (weight * level < cap)
+    from pour p, weighted having max(p.turn) < (select count(*) from weighted) and count(*) filter (weight * level < cap) > 0),
+targets as (select source, rnk, source_size, budget, least(cap::double, weight * (select arg_max(level, turn) from pour)) as target from weighted),
 timed as (select d.doc_id, d.size, t.rnk, t.source_size, t.budget, t.target, md5('{mixing.SEED}|' || coalesce(d.doc_id::varchar, '')) as h
     from d join targets t on d.source is not distinct from t.source),
 queued as (select *, sum(size) over (partition by rnk order by h, size range between unbounded preceding and current row) as q from timed),

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from skeinlog.llm import mixing as M
@@ -44,6 +45,21 @@ def test_targets_and_taken(spark):
     assert applied.count() == sum(r.copies for r in out)
 
 
+@pytest.mark.parametrize("sizes", [{"a": 9000}, {"a": 500, "b": 90, "c": 4000}, {f"s{i:02}": 300 + 17 * i for i in range(20)}, {"a": 3, "b": 20_000, "c": 5, None: 700, "d": 0}])
+def test_budget_is_spent(spark, sizes):
+    """One, some and many sources below their cap; one that holds almost all words; one without any."""
+    rows = [(i, s, "w " * 10 if n else "") for i, (s, n) in enumerate((s, n) for s, n in sizes.items() for _ in range(max(1, n // 10)))]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    sizes = {s: n // 10 * 10 or 10 * (n > 0) for s, n in sizes.items()}
+    words, want = sum(sizes.values()), brute_targets(sizes)
+    got = {r.src: (r.target, r.t) for r in M.mix_sources(df).groupBy("src", "target").agg(F.sum("taken").alias("t")).collect()}
+    assert abs(sum(t for t, _ in got.values()) - 1.5 * words) < 1e-6 * words
+    for s, (target, taken) in got.items():
+        assert abs(target - want[s]) < 1e-6 * words and abs(taken - target) <= 20
+        assert sizes[s] == 0 or target > 0
+    assert sum(taken for _, taken in got.values()) > 1.5 * words - 20 * len(sizes)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, source string, text string")
     assert M.mix_sources(df).count() == 0 and M.apply_mix(df).count() == 0
