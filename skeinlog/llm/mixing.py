@@ -7,8 +7,8 @@ merged in order of finish time, and the merged queue is cut at the total budget.
 its target to within a document.
 
 The running totals are two-level: sums by (source, leading digits of the md5), then a window inside such a
-bucket, so that no source, however large, meets in one task.  The cut is found from sums of fixed slices
-of finish time (coarse, then fine), and only the slice that holds the cut is put in row order.
+bucket, so that no source, however large, meets in one task.  The merged queue is sorted by ranges over all
+tasks; sums of the ranges tell where the budget ends, and only that range is summed row by row.
 
 Defined results: a null or empty text has size 0 and takes 0 words; a null source is a source of its own
 and sorts last; rows of one source that have the same id and size share their finish time and are taken
@@ -20,13 +20,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, col, fresh, quoted, staged
+from .common import WORD, col, drop_staged, fresh, quoted, staged
 
 #: Fixed values of the production mix.
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2
 SEED = "mix"
-SLICES = 1024
 
 
 def n_words(text):
@@ -57,9 +56,14 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return per.select("src", "rank", "source_size", target.alias("target"), "budget")
 
 
-def _finish_times(rows: DataFrame, weights, share, most, seed) -> DataFrame:
-    """``rows`` (id, src, size) with source_size, target, budget and the words queued up to each row."""
-    rows = rows.withColumn("h", F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("id").cast("string"), F.lit("")))))
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
+    """(id, src, size, h) of every row: the texts are read once, nothing after this sees them."""
+    rows = docs.select(col(docs, id_col).alias("id"), col(docs, source_col).alias("src"), n_words(col(docs, text_col)).alias("size"))
+    return staged(rows.withColumn("h", F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("id").cast("string"), F.lit(""))))), "sizes")
+
+
+def _finish_times(rows: DataFrame, weights, share, most) -> DataFrame:
+    """``rows`` (id, src, size, h) with source_size, target, budget and the words queued up to each row."""
     rows = rows.withColumn("bucket", F.substring("h", 1, 3)).withColumn("null_src", F.col("src").isNull())
     rows = rows.withColumn("skey", F.coalesce("src", F.lit("")))
     sums = rows.groupBy("skey", "null_src", "bucket").agg(F.sum("size").alias("bucket_size"), F.first("src").alias("src"))
@@ -74,39 +78,48 @@ def _finish_times(rows: DataFrame, weights, share, most, seed) -> DataFrame:
     return rows.withColumn("queued", F.col("offset") + F.sum("size").over(peers))
 
 
+#: The order of the merged queue; entries that agree in all of it are taken alike.
+QUEUE = (("vft", "double"), ("rank", "int"), ("h", "string"), ("size", "long"), ("turn", "int"))
+
+
+def _cut(timed: DataFrame, most: int):
+    """The first entry of the merged queue that goes beyond the budget, or None if the budget takes all.
+
+    A global range sort: entries are dealt by ranges of the queue's order and each range is summed; the ranges' sums
+    (as many rows as shuffle partitions) tell in which range the budget ends, and only that range is summed row by row.
+    """
+    spark = timed.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finish = (F.col("source_size") * F.col("turn") + F.col("queued")) / F.col("target")
+    entries = timed.where("size > 0 and target > 0").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+    entries = entries.select(finish.alias("vft"), "rank", "h", "size", "turn", "budget")
+    names = [name for name, _ in QUEUE]
+    # Ranges are drawn by sampling, so which range a row is in is written down before it is used twice.
+    dealt = staged(entries.repartitionByRange(parts, *names).withColumn("range", F.spark_partition_id()), "queue")
+    spent, at = 0, None
+    for r in dealt.groupBy("range").agg(F.sum("size").alias("s"), F.first("budget").alias("b")).orderBy("range").collect():
+        if spent + r["s"] > r["b"]:
+            at = r["range"]
+            break
+        spent += r["s"]
+    limit = None
+    if at is not None:
+        order = Window.partitionBy("range").orderBy(*names).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        inside = dealt.where(F.col("range") == at).withColumn("sum", F.lit(spent) + F.sum("size").over(order))
+        limit = inside.where("sum > budget").agg(F.min(F.struct(*names)).alias("m")).first()["m"]
+    drop_staged(dealt)
+    return limit
+
+
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED,
 ) -> DataFrame:
     """One row a document: id, src, size, source_size, target, copies (0 to ``most``), taken."""
-    rows = docs.select(col(docs, id_col).alias("id"), col(docs, source_col).alias("src"), n_words(col(docs, text_col)).alias("size"))
-    timed = staged(_finish_times(rows, weights, share, most, seed).select("id", "src", "size", "rank", "source_size", "target", "budget", "queued", "h"), "mix")
-    entries = timed.where("size > 0 and target > 0").select(
-        "id", "rank", "size", "budget", "h", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("turn"), "queued", "source_size", "target",
-    )
-    entries = entries.withColumn("vft", (F.col("source_size") * F.col("turn") + F.col("queued")) / F.col("target"))
-    coarse = lambda c: F.least(F.floor(c * SLICES), F.lit(most * SLICES)).cast("long")
-
-    def cut(df: DataFrame, key, spent: int) -> tuple[int | None, int]:
-        """The slice in which the budget ends and the words spent before it.  At most some thousand rows."""
-        sums = df.groupBy(key.alias("k")).agg(F.sum("size").alias("s"), F.first("budget").alias("b")).orderBy("k").collect()
-        for r in sums:
-            if spent + r["s"] > r["b"]:
-                return r["k"], spent
-            spent += r["s"]
-        return None, spent
-
-    at, spent = cut(entries, coarse(F.col("vft")), 0)
-    last = most * SLICES
-    limit = None
-    if at is not None:
-        inside = entries.where(coarse(F.col("vft")) == at)
-        fine = F.floor((F.col("vft") * SLICES - at) * SLICES).cast("long") if at < last else F.floor(F.log2("vft") * SLICES).cast("long")
-        at2, spent = cut(inside, fine, spent)
-        order = Window.orderBy("vft", "rank", "h", "size", "turn").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        edge = inside.where(fine == at2).withColumn("sum", F.lit(spent) + F.sum("size").over(order))
-        # Finish times up to the first entry that goes beyond the budget are taken.
-        limit = edge.where("sum > budget").agg(F.min(F.struct("vft", "rank", "h", "size", "turn")).alias("m")).first()["m"]
+    sizes = _sized(docs, id_col, text_col, source_col, seed)
+    timed = staged(_finish_times(sizes, weights, share, most).select("id", "src", "size", "rank", "source_size", "target", "budget", "queued", "h"), "mix")
+    drop_staged(sizes)
+    limit = _cut(timed, most)
     taken = F.lit(0)
     for turn in range(most):
         vft = (F.col("source_size") * turn + F.col("queued")) / F.col("target")
@@ -114,7 +127,7 @@ def mix_sources(
             ok = F.lit(True)
         else:
             here = F.struct(vft.alias("vft"), F.col("rank"), F.col("h"), F.col("size"), F.lit(turn).alias("turn"))
-            there = F.struct(*[F.lit(limit[k]).cast(t).alias(k) for k, t in (("vft", "double"), ("rank", "int"), ("h", "string"), ("size", "long"), ("turn", "int"))])
+            there = F.struct(*[F.lit(limit[k]).cast(t).alias(k) for k, t in QUEUE])
             ok = here < there
         taken = taken + F.when((F.col("size") > 0) & (F.col("target") > 0) & ok, 1).otherwise(0)
     return timed.select(
