@@ -1,10 +1,14 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A text is cut into words where no piece can reach across: before blanks and around line ends.  Documents
-are dealt into groups; the distinct words of all groups form the lattice: every substring of two or more
-characters, up to the longest piece's length, is equi-joined with the piece table, which gives the lattice's
-edges; the edges are grouped by word, and a higher-order fold over them finds the word's pieces.  The word's
-cuts travel back to the groups that have the word, where texts are put together again.
+A text is cut into words where no piece can reach across: before blanks, and between characters that no piece has
+side by side (``Model.words``, drawn from the vocabulary).  The distinct words form the lattice: every substring of
+two or more characters, up to the longest piece's length, is equi-joined with the piece table, which gives the lattice's
+edges; the edges are grouped by word, and a higher-order fold over them finds the word's pieces.
+
+Documents are packed where they are read: each input partition makes a few *groups* of about ``GROUP`` bytes of text.
+A group sends the set of its words to the lattice and its rows, compressed, to the task that puts its texts together
+again; there the words' cuts come first and the rows stream past them.  Which groups have a word is a bit set of
+``SLAB`` groups, so a word that all groups have is one row a slab and a slab's lattice is worked once.
 
 What the fold optimises depends on the model.  For unigram models it is Viterbi: the path of the largest
 sum of scores (``viterbi_path``).  The scores of BPE models are merge ranks, and the best sum of ranks is not what such
@@ -12,29 +16,36 @@ a model means by its encoding: there the fold takes, again and again, the edge o
 joins exactly two neighbouring pieces, the leftmost of equals (``merge_cuts``), which is the library's result.
 
 The state of the BPE fold is one 64-bit number, a bit a cut, for words of up to ``SHORT`` characters.  Longer
-words are merged with a heap by a Python step over the same pieces.
+words are merged with a heap by a Python step over the same pieces; so would be a word whose cuts did not arrive
+because a lost partition came back in another order.
 
 Defined results: null and empty texts have no pieces; texts are encoded whole; equal rows give equal rows;
 characters that no piece has become their UTF-8 bytes' pieces, so decoding gives the text back (U+2581, the
 model's sign for a blank, comes back as a blank); an empty table gives an empty one; other columns are
-kept or ignored as the function says.
+kept or ignored as the function says; a result column whose name a kept column has is called by that name and an underscore.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import col, fresh, quoted
+from .common import col, fresh, quoted, staged
 
 SHORT = 60
-#: A word: blanks and what follows them up to the next blank or line end; the model's blank sign is a blank.
-WORDS = "\n|[ ▁]*[^ ▁\n]+|[ ▁]+"
+#: Bytes of text in a group, groups in a slab, bytes of text in a packet of rows, words that a worker gathers.
+GROUP, SLAB, PACKET, GATHER = 32 << 20, 32, 1 << 20, 400_000
+#: The model's sign for a blank; texts are read with blanks in its place.
 BLANK = "▁"
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -61,6 +72,38 @@ class Model:
                 back = text.replace(BLANK, " ").encode()
             self.back.append(back)
         self.longest = max(map(len, self.pieces))
+        self.words = re.compile(self._pattern()).findall
+
+    def _pattern(self) -> str:
+        """A word: characters that pieces connect, with the blanks before them.  Others are words of their own.
+
+        Characters that stand side by side in a piece are of one class, and so are those they are connected with.
+        """
+        up: dict[str, str] = {}
+
+        def top(c: str) -> str:
+            while up.setdefault(c, c) != c:
+                up[c] = c = up[up[c]]
+            return c
+
+        after_blank = set()
+        for p in self.pieces:
+            inner = p.lstrip(" ")
+            if " " in inner:
+                raise ValueError("a piece reaches over a blank")
+            if inner and inner != p:
+                after_blank.add(inner[0])
+            for a, b in zip(inner, inner[1:]):  # noqa: B905
+                up[top(a)] = top(b)
+        classes: dict[str, list[str]] = {}
+        for c in set(up) | after_blank:
+            classes.setdefault(top(c), []).append(c)
+        ways = []
+        for chars in sorted(map(sorted, classes.values()), key=len, reverse=True):
+            blanks = " *" if after_blank & set(chars) else ""
+            if len(chars) > 1 or blanks:
+                ways.append(f"{blanks}[{''.join(map(re.escape, chars))}]+")
+        return "|".join([*ways, " +", "(?s:.)"])
 
     def ids(self, piece: str) -> list[int]:
         if piece in self.pieces:
@@ -109,24 +152,20 @@ class Model:
         return text[1:] if text.startswith(" ") else text
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text, with the blank that the model puts before it."""
-    whole = F.concat(F.lit(" "), F.coalesce(text, F.lit("")))
-    return F.when(F.length(text) > 0, F.regexp_extract_all(whole, F.lit(WORDS), F.lit(0))).otherwise(F.array().cast("array<string>"))
-
-
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
     """piece, score, id: at most as many rows as the model has pieces."""
     return spark.createDataFrame([(p, s, i) for p, (s, i) in model.pieces.items()], "piece string, score double, id int")
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int, shortest: int = 2) -> DataFrame:
-    """Edges (word, at, till, score, id) of the distinct ``words`` (column ``word``; other columns stay)."""
-    size = F.length("word")
-    starts = words.withColumn("at", F.explode(F.sequence(F.lit(0), size - shortest)))
-    spans = starts.withColumn("till", F.explode(F.sequence(F.col("at") + shortest, F.least(size, F.col("at") + longest))))
-    text = F.translate(F.substring(F.col("word"), F.col("at") + 1, F.col("till") - F.col("at")), BLANK, " ")
-    return spans.withColumn("piece", text).join(F.broadcast(pieces), "piece")
+    """Edges (word, at, till, score, id) of the distinct ``words`` (column ``word``; other columns stay).
+
+    The places of a word's substrings come from a join, too: with a small table of them by the word's length.
+    """
+    places = [(n, at, till) for n in range(shortest, SHORT + 1) for at in range(n - shortest + 1) for till in range(at + shortest, min(n, at + longest) + 1)]
+    places = words.sparkSession.createDataFrame(places, "size int, at int, till int")
+    spans = words.withColumn("size", F.length("word")).join(F.broadcast(places), "size").drop("size")
+    return spans.withColumn("piece", F.substring(F.col("word"), F.col("at") + 1, F.col("till") - F.col("at"))).join(F.broadcast(pieces), "piece")
 
 
 def _shift(x: Column, by: Column) -> Column:
@@ -145,7 +184,8 @@ def merge_cuts(edges: Column, size: Column) -> Column:
         best = F.get(F.filter(edges, fits), F.lit(0))
         return F.coalesce(cuts.bitwiseAND(F.bitwise_not(best["inner"])), cuts)
 
-    return F.aggregate(edges, full, step)
+    # Every merge takes a cut away, so there are fewer of them than characters.
+    return F.aggregate(F.sequence(F.lit(2), size), full, step)
 
 
 def viterbi_path(edges: Column, size: Column, unknown: float = -100.0) -> Column:
@@ -175,71 +215,158 @@ def viterbi_path(edges: Column, size: Column, unknown: float = -100.0) -> Column
 
 
 def word_cuts(words: DataFrame, spark: SparkSession, model: Model) -> DataFrame:
-    """(word, cuts, and the other columns) of those words that have an edge; others are single characters."""
-    others = [c for c in words.columns if c != "word"]
+    """(word, the other columns, cuts): one row a row; the other columns are part of the key."""
+    key = words.columns
     edges = lattice(words, piece_table(spark, model), model.longest)
     one = F.lit(1).cast("long")
     ends = _shift(one, F.col("at")).bitwiseOR(_shift(one, F.col("till")))
     inner = _shift(one, F.col("till")) - _shift(one, F.col("at") + 1)
     edge = F.struct((-F.col("score")).alias("cost"), F.col("at"), ends.alias("ends"), inner.alias("inner"))
-    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"), *[F.first(c).alias(c) for c in others])
-    return grouped.select("word", merge_cuts(F.col("edges"), F.length("word")).alias("cuts"), *others)
+    grouped = edges.groupBy(*key).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return grouped.select(*key, merge_cuts(F.col("edges"), F.length("word")).alias("cuts"))
+
+
+class _Known(dict):
+    """Ids of a group's words as bytes, made when first asked for."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model, self.cuts = model, {}
+
+    def __missing__(self, word: str) -> bytes:
+        mask = self.cuts.get(word)
+        ids = self.model.ids(word) if len(word) < 2 else self.model.merged(word) if mask is None else self.model.cut(word, mask)
+        found = self[word] = array("i", ids).tobytes()
+        return found
 
 
-def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with the piece ids of the text, and whether they decode to it."""
+def _packed(columns: list[pa.Array], names: list[str]) -> bytes:
+    import zstandard
+
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays(columns, names=names)
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return zstandard.ZstdCompressor(level=6).compress(sink.getvalue())
+
+
+def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None, group: int = GROUP) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with the piece ids of the text, and whether they decode to it (``decodes``)."""
     spark = docs.sparkSession
     with open(model_path, "rb") as f:
         raw = f.read()
     model = Model(raw)
     shared = spark.sparkContext.broadcast(raw)
     keep = docs.columns if keep is None else keep
-    n_groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    text, group, good = fresh(docs, "text__"), fresh(docs, "group__"), fresh(docs, "decodes")
-    rows = docs.select(col(docs, text_col).alias(text), *[docs[quoted(c)] for c in keep])
-    key = F.pmod(F.xxhash64(F.length(text), F.substring(text, 1, 64), *[F.col(quoted(c)) for c in keep if c != text_col]), F.lit(n_groups))
-    dealt = rows.withColumn(group, key.cast("int")).repartition(n_groups, group)
-    pairs = dealt.select(F.col(group).alias("g"), F.explode(F.array_distinct(words_of(F.col(text)))).alias("word"))
-    pairs = pairs.where(F.length("word").between(2, SHORT)).distinct()
-    by_word = pairs.groupBy("word").agg(F.collect_list("g").alias("gs"))
-    cuts = word_cuts(by_word, spark, model).select("word", "cuts", F.explode("gs").alias("g"))
-    schema = rows.select(*[rows[quoted(c)] for c in keep], F.lit(None).cast("array<int>").alias(ids_col), F.lit(None).cast("boolean").alias(good)).schema
-
-    def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
-        m = Model(shared.value)
-        find = re.compile(WORDS).findall
-        cut = dict(zip(right.column("word").to_pylist(), right.column("cuts").to_pylist(), strict=True))
-        known: dict[str, list[int]] = {}
-
-        def ids_of(word: str) -> list[int]:
-            plain = word.replace(BLANK, " ")
-            if len(word) > SHORT:
-                return m.merged(plain)
-            mask = cut.get(word)
-            return m.cut(plain, -1 if mask is None else mask)
-
-        ids, ok = [], []
-        for t in left.column(text).to_pylist():
-            found: list[int] = []
-            for word in find(" " + t) if t else ():
-                got = known.get(word)
-                if got is None:
-                    got = known[word] = ids_of(word)
-                found += got
-            ids.append(pa.array(found, pa.int32()))
-            ok.append(m.decode(found) == (t or "").replace(BLANK, " "))
-        columns = [left.column(c) for c in keep]
-        lists = pa.ListArray.from_arrays(pa.array([0, *_sums(map(len, ids))], pa.int32()), pa.concat_arrays(ids) if ids else pa.array([], pa.int32()))
-        return pa.table([*columns, lists, pa.array(ok, pa.bool_())], names=[*keep, ids_col, good])
-
-    return dealt.groupBy(group).cogroup(cuts.groupBy("g")).applyInArrow(put_together, schema)
-
-
-def _sums(sizes) -> Iterator[int]:
-    total = 0
-    for s in sizes:
-        total += s
-        yield total
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = staged(docs, "encode")  # both passes have to see the same partitions
+    ids_name, good = fresh(docs.select(*map(quoted, keep)), ids_col), fresh(docs.select(*map(quoted, keep)), "decodes")
+    n, parts = len(keep), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length(col(docs, text_col)))).first()[0] or 0
+    split = max(1, -(-total // (group * max(1, docs.rdd.getNumPartitions()))))  # groups a partition
+    names = [f"c{i}" for i in range(n + 1)]
+    kept = [docs[quoted(c)].alias(names[i]) for i, c in enumerate(keep)]
+    salt = F.pmod(F.xxhash64(F.length(col(docs, text_col)), *[docs[quoted(c)] for c in keep if c != text_col and not isinstance(docs.schema[c].dataType, T.MapType | T.VariantType)]), F.lit(split))
+    g = (F.spark_partition_id().cast("long") * split + salt).alias("g")
+    rows = docs.select(g, col(docs, text_col).alias(names[n]), *[c for c, k in zip(kept, keep, strict=True) if k != text_col])
+    own = [names[n] if c == text_col else names[i] for i, c in enumerate(keep)]
+    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep])
+    schema = schema.add(ids_name, T.ArrayType(T.IntegerType())).add(good, T.BooleanType())
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The set of words of each group that the lattice has to cut."""
+        find, sets, size = Model(shared.value).words, defaultdict(set), 0
+
+        def flush():
+            for g, words in sets.items():
+                w = pa.array([x for x in words if 1 < len(x) <= SHORT], pa.string())
+                for at in range(0, len(w), 10_000):
+                    part = w.slice(at, 10_000)
+                    yield pa.RecordBatch.from_arrays([part, pa.array(np.full(len(part), g))], names=["word", "g"])
+
+        for batch in batches:
+            for g, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if t := t.as_py():
+                    mine = sets[g]
+                    size -= len(mine)
+                    mine.update(find(" " + t.replace(BLANK, " ")))
+                    size += len(mine)
+            if size > GATHER:
+                yield from flush()
+                sets, size = defaultdict(set), 0
+        yield from flush()
+
+    def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of one group, compressed together."""
+        held, size = defaultdict(list), 0
+
+        def flush():
+            for g, slices in held.items():
+                t = pa.Table.from_batches(slices).combine_chunks()
+                cut = np.cumsum(pc.fill_null(pc.binary_length(t.column(1)), 0).to_numpy()) // PACKET
+                for at in np.flatnonzero(np.diff(cut, prepend=-1)).tolist():
+                    till = int(np.searchsorted(cut, cut[at], "right"))
+                    part = t.slice(at, till - at).combine_chunks()
+                    cargo = _packed([c.chunk(0) for c in part.columns[1:]], part.column_names[1:])
+                    yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([cargo], pa.binary())], names=["g", "cargo"])
+
+        for batch in batches:
+            g = batch.column(0).to_numpy()
+            for one in np.unique(g).tolist():
+                at = np.flatnonzero(g == one)
+                held[one].append(batch if len(at) == len(g) else batch.take(pa.array(at)))
+            size += batch.nbytes
+            if size > group:
+                yield from flush()
+                held, size = defaultdict(list), 0
+        yield from flush()
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cuts of a group's words, then its packets."""
+        import zstandard
+
+        m, at, known = Model(shared.value), None, None
+        back = pa.array(m.back, pa.binary())
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            gs, words = batch.column(0).to_numpy(), batch.column(1)
+            for start in np.flatnonzero(np.diff(gs, prepend=gs[:1] - 1)).tolist():
+                till = int(np.searchsorted(gs, gs[start], "right"))
+                if gs[start] != at:
+                    at, known = gs[start], _Known(m)
+                is_cut = words.slice(start, till - start).is_valid().to_numpy(zero_copy_only=False)
+                n_cuts = int(is_cut.sum())  # they come first
+                known.cuts.update(zip(words.slice(start, n_cuts).to_pylist(), batch.column(2).slice(start, n_cuts).to_pylist(), strict=True))
+                for cargo in batch.column(3).slice(start + n_cuts, till - start - n_cuts):
+                    for part in pa.ipc.open_stream(unpack.decompress(cargo.as_py())):
+                        yield _encoded(part, m, known, back, names[n], own, [*keep, ids_name, good])
+
+    pairs = rows.select("g", names[n]).mapInArrow(gathered, "word string, g long")
+    slabs = pairs.groupBy("word", F.floor(F.col("g") / SLAB).alias("slab")).agg(F.bit_or(_shift(F.lit(1).cast("long"), (F.col("g") % SLAB).cast("int"))).alias("has"))
+    cuts = word_cuts(slabs, spark, model)
+    single = F.array(F.round(F.log2(F.col("has").cast("double"))).cast("int"))
+    several = F.filter(F.sequence(F.lit(0), F.lit(SLAB - 1)), lambda b: F.getbit("has", b) == 1)
+    places = F.explode(F.when(F.bit_count("has") == 1, single).otherwise(several))
+    cuts = cuts.select("word", "cuts", "slab", places.alias("bit")).select((F.col("slab") * SLAB + F.col("bit")).alias("g"), "word", "cuts", F.lit(None).cast("binary").alias("cargo"))
+    cargo = rows.mapInArrow(packets, "g long, cargo binary").select("g", F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("cuts"), "cargo")
+    met = cuts.union(cargo).repartition(parts, "g").sortWithinPartitions("g", F.col("word").isNull())
+    return met.mapInArrow(put_together, schema)
+
+
+def _encoded(part: pa.RecordBatch, m: Model, known: _Known, back: pa.Array, text: str, own: list[str], names: list[str]) -> pa.RecordBatch:
+    """A packet's rows with ids and whether they decode."""
+    find, get = m.words, known.__getitem__
+    texts = [t.replace(BLANK, " ") if t else "" for t in part.column(text).to_pylist()]
+    made = [b"".join(map(get, find(" " + t))) if t else b"" for t in texts]
+    ends = np.cumsum([0, *map(len, made)]) // 4
+    ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(made))])
+    spelled = back.take(ids)
+    flat = spelled.buffers()[2] if len(ids) else b""
+    till = np.frombuffer(spelled.buffers()[1], np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+    flat = memoryview(flat) if flat else memoryview(b"")
+    ok = [not t or bytes(flat[till[a] : till[b]]).decode("utf-8", "replace") == " " + t for t, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
+    return pa.RecordBatch.from_arrays([*[part.column(c) for c in own], lists, pa.array(ok, pa.bool_())], names=names)
 
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
