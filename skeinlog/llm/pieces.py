@@ -122,8 +122,12 @@ class Model:
         return out
 
     def merged(self, word: str) -> list[int]:
-        """Ids of a word of any length: merges in order of score, then place, from a heap."""
-        n = len(word)
+        """Ids of a word of any length."""
+        return [x for part in self.merges(word)[0] for x in self.ids(part)]
+
+    def merges(self, word: str) -> tuple[list[str], list[float]]:
+        """Parts of a word of any length, and the scores of the merges in their order: by score, then place, from a heap."""
+        n, scores = len(word), []
         after, before, alive = [*range(1, n), -1], list(range(-1, n - 1)), [True] * n
         part, heap = list(word), []
 
@@ -135,17 +139,18 @@ class Model:
         for i in range(n - 1):
             offer(i)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            cost, i, a, b = heapq.heappop(heap)
             j = after[i]
             if not alive[i] or part[i] != a or j < 0 or part[j] != b:
                 continue
+            scores.append(-cost)
             part[i], alive[j], after[i] = a + b, False, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             if before[i] >= 0:
                 offer(before[i])
             offer(i)
-        return [x for i in range(n) if alive[i] for x in self.ids(part[i])]
+        return [part[i] for i in range(n) if alive[i]], scores
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.back.__getitem__, ids)).decode("utf-8", "replace")
@@ -153,8 +158,17 @@ class Model:
 
 
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
-    """piece, score, id: at most as many rows as the model has pieces."""
-    return spark.createDataFrame([(p, s, i) for p, (s, i) in model.pieces.items()], "piece string, score double, id int")
+    """piece, score, id, late: at most as many rows as the model has pieces, without those that merges never reach.
+
+    Merges inside a piece's span go as in a word of its own, as long as its ends are cuts.  A piece is *late* if one of
+    them scores less than the piece itself or as much: only then can it come up after its turn.
+    """
+    rows = []
+    for p, (score, i) in model.pieces.items():
+        parts, scores = model.merges(p)
+        if len(parts) == 1:
+            rows.append((p, score, i, any(x <= score for x in scores[:-1])))
+    return spark.createDataFrame(rows, "piece string, score double, id int, late boolean")
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int, shortest: int = 2) -> DataFrame:
@@ -165,7 +179,11 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int, shortest: int = 2
     places = [(n, at, till) for n in range(shortest, SHORT + 1) for at in range(n - shortest + 1) for till in range(at + shortest, min(n, at + longest) + 1)]
     places = words.sparkSession.createDataFrame(places, "size int, at int, till int")
     spans = words.withColumn("size", F.length("word")).join(F.broadcast(places), "size").drop("size")
-    return spans.withColumn("piece", F.substring(F.col("word"), F.col("at") + 1, F.col("till") - F.col("at"))).join(F.broadcast(pieces), "piece")
+    spans = spans.withColumn("span", F.substring(F.col("word"), F.col("at") + 1, F.col("till") - F.col("at")))
+    # Joined by a 64-bit hash of the text, which is quicker to look up, and then by the text itself.
+    keyed = pieces.withColumn("h", F.xxhash64("piece"))
+    met = spans.withColumn("h", F.xxhash64("span")).join(F.broadcast(keyed), "h")
+    return met.where(F.col("piece").startswith(F.col("span")) & (F.octet_length("piece") <= F.octet_length("span"))).drop("h", "span")
 
 
 def _shift(x: Column, by: Column) -> Column:
@@ -175,17 +193,24 @@ def _shift(x: Column, by: Column) -> Column:
 def merge_cuts(edges: Column, size: Column) -> Column:
     """Cuts of a word as bits: the best edge over exactly two neighbours joins them, until there is none.
 
-    ``edges`` is an array of structs sorted by (-score, at) with the bit masks ``ends`` and ``inner``.
+    ``edges`` is an array of structs sorted by (-score, at) with the bit masks ``ends`` and ``inner`` and ``late``.
+    Without late edges every edge gets its turn once, in order; with one, each turn looks for the best of all.
     """
     full = _shift(F.lit(2).cast("long"), size) - 1
 
-    def step(cuts, _):
-        fits = lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(cuts.bitwiseAND(e["inner"])) == 1)
-        best = F.get(F.filter(edges, fits), F.lit(0))
-        return F.coalesce(cuts.bitwiseAND(F.bitwise_not(best["inner"])), cuts)
+    def fits(cuts, e):
+        return (F.bit_count(cuts.bitwiseAND(e["inner"])) == 1) & (cuts.bitwiseAND(e["ends"]) == e["ends"])
+
+    def join(cuts, e):
+        return F.when(fits(cuts, e), cuts.bitwiseXOR(cuts.bitwiseAND(e["inner"]))).otherwise(cuts)
+
+    def best(cuts, _):
+        first = F.get(F.filter(edges, lambda e: fits(cuts, e)), F.lit(0))
+        return F.coalesce(cuts.bitwiseAND(F.bitwise_not(first["inner"])), cuts)
 
     # Every merge takes a cut away, so there are fewer of them than characters.
-    return F.aggregate(F.sequence(F.lit(2), size), full, step)
+    in_turn, at_best = F.aggregate(edges, full, join), F.aggregate(F.sequence(F.lit(2), size), full, best)
+    return F.when(F.exists(edges, lambda e: e["late"]), at_best).otherwise(in_turn)
 
 
 def viterbi_path(edges: Column, size: Column, unknown: float = -100.0) -> Column:
@@ -221,22 +246,34 @@ def word_cuts(words: DataFrame, spark: SparkSession, model: Model) -> DataFrame:
     one = F.lit(1).cast("long")
     ends = _shift(one, F.col("at")).bitwiseOR(_shift(one, F.col("till")))
     inner = _shift(one, F.col("till")) - _shift(one, F.col("at") + 1)
-    edge = F.struct((-F.col("score")).alias("cost"), F.col("at"), ends.alias("ends"), inner.alias("inner"))
+    edge = F.struct((-F.col("score")).alias("cost"), F.col("at"), ends.alias("ends"), inner.alias("inner"), F.col("late"))
     grouped = edges.groupBy(*key).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     return grouped.select(*key, merge_cuts(F.col("edges"), F.length("word")).alias("cuts"))
 
 
+def _stretches(text: str) -> list[str]:
+    """A text cut at its blanks, one of them taken out at each cut; further blanks stay in front of what follows.
+
+    Few stretches differ, so words are looked for once in each.
+    """
+    if "  " not in text:
+        return text.split(" ")
+    return [x[1:] for x in re.findall(" +[^ ]*", " " + text)]
+
+
 class _Known(dict):
-    """Ids of a group's words as bytes, made when first asked for."""
+    """Ids of a group's stretches (with a blank before each) as bytes, made when first asked for."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model, self.cuts = model, {}
 
-    def __missing__(self, word: str) -> bytes:
-        mask = self.cuts.get(word)
-        ids = self.model.ids(word) if len(word) < 2 else self.model.merged(word) if mask is None else self.model.cut(word, mask)
-        found = self[word] = array("i", ids).tobytes()
+    def __missing__(self, stretch: str) -> bytes:
+        m, ids = self.model, []
+        for word in m.words(" " + stretch):
+            mask = self.cuts.get(word)
+            ids += m.ids(word) if len(word) < 2 else m.merged(word) if mask is None else m.cut(word, mask)
+        found = self[stretch] = array("i", ids).tobytes()
         return found
 
 
@@ -278,7 +315,8 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
         find, sets, size = Model(shared.value).words, defaultdict(set), 0
 
         def flush():
-            for g, words in sets.items():
+            for g, stretches in sets.items():
+                words = {w for s in stretches for w in find(" " + s)}
                 w = pa.array([x for x in words if 1 < len(x) <= SHORT], pa.string())
                 for at in range(0, len(w), 10_000):
                     part = w.slice(at, 10_000)
@@ -289,7 +327,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
                 if t := t.as_py():
                     mine = sets[g]
                     size -= len(mine)
-                    mine.update(find(" " + t.replace(BLANK, " ")))
+                    mine.update(_stretches(t.replace(BLANK, " ")))
                     size += len(mine)
             if size > GATHER:
                 yield from flush()
@@ -355,9 +393,9 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
 
 def _encoded(part: pa.RecordBatch, m: Model, known: _Known, back: pa.Array, text: str, own: list[str], names: list[str]) -> pa.RecordBatch:
     """A packet's rows with ids and whether they decode."""
-    find, get = m.words, known.__getitem__
+    get = known.__getitem__
     texts = [t.replace(BLANK, " ") if t else "" for t in part.column(text).to_pylist()]
-    made = [b"".join(map(get, find(" " + t))) if t else b"" for t in texts]
+    made = [b"".join(map(get, _stretches(t))) if t else b"" for t in texts]
     ends = np.cumsum([0, *map(len, made)]) // 4
     ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(made))])
     spelled = back.take(ids)

@@ -23,6 +23,22 @@ def test_ids_are_the_librarys_and_decode(spark, data):
     assert P.encode(df.where("false"), PATH).count() == 0
 
 
+def test_late_pieces_and_groups(spark):
+    """Words with pieces that come up after their turn; many small groups; clashing column names; a shuffled input."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    model = P.Model(open(PATH, "rb").read())
+    late = [r.piece for r in P.piece_table(spark, model).where("late").collect()]
+    assert late
+    texts = [f"{a}{p}{b} {p}  {p.strip()}{p.strip()}" for p in late for a in ("", "s", "er", "un") for b in ("", "s", "ing", "e")] + TEXTS
+    df = spark.createDataFrame([(i, t, i, "x") for i, t in enumerate(texts)], "doc_id long, text string, ids long, decodes string").repartition(3, "doc_id")
+    out = P.encode(df, PATH, group=500)
+    assert out.columns == ["doc_id", "text", "ids", "decodes", "ids_", "decodes_"]
+    rows = out.collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    for r in rows:
+        assert r.ids_ == sp.encode(texts[r.doc_id] or "") and r.decodes_ and r.ids == r.doc_id, r.text
+
+
 def test_viterbi_equals_all_paths(spark):
     table = {"a": -2.0, "b": -3.0, "ab": -3.5, "ba": -1.0, "aba": -5.0, "bb": -2.5, "abab": -4.4}
     words = ["".join(w) for n in range(1, 7) for w in itertools.product("ab", repeat=n)] + ["axb"]
