@@ -35,7 +35,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,7 +43,7 @@ from .common import col, fresh, quoted, staged
 
 SHORT = 60
 #: Bytes of text in a group, groups in a slab, bytes of text in a packet of rows, words that a worker gathers.
-GROUP, SLAB, PACKET, GATHER = 32 << 20, 32, 1 << 20, 400_000
+GROUP, SLAB, PACKET, GATHER = 32 << 20, 32, 1 << 20, 150_000
 #: The model's sign for a blank; texts are read with blanks in its place.
 BLANK = "▁"
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -256,7 +255,7 @@ def _stretches(text: str) -> list[str]:
 
     Few stretches differ, so words are looked for once in each.
     """
-    if "  " not in text:
+    if "  " not in text and text[:1] != " ":
         return text.split(" ")
     return [x[1:] for x in re.findall(" +[^ ]*", " " + text)]
 
@@ -335,29 +334,28 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
         yield from flush()
 
     def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of one group, compressed together."""
-        held, size = defaultdict(list), 0
+        """Rows of one group, some ``PACKET`` bytes compressed together."""
+        held, sizes = defaultdict(list), defaultdict(int)
 
-        def flush():
-            for g, slices in held.items():
-                t = pa.Table.from_batches(slices).combine_chunks()
-                cut = np.cumsum(pc.fill_null(pc.binary_length(t.column(1)), 0).to_numpy()) // PACKET
-                for at in np.flatnonzero(np.diff(cut, prepend=-1)).tolist():
-                    till = int(np.searchsorted(cut, cut[at], "right"))
-                    part = t.slice(at, till - at).combine_chunks()
-                    cargo = _packed([c.chunk(0) for c in part.columns[1:]], part.column_names[1:])
-                    yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([cargo], pa.binary())], names=["g", "cargo"])
+        def packet(g: int) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held.pop(g)).combine_chunks()
+            sizes[g] = 0
+            cargo = _packed([c.chunk(0) for c in t.columns[1:]], t.column_names[1:])
+            return pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([cargo], pa.binary())], names=["g", "cargo"])
 
         for batch in batches:
-            g = batch.column(0).to_numpy()
-            for one in np.unique(g).tolist():
-                at = np.flatnonzero(g == one)
-                held[one].append(batch if len(at) == len(g) else batch.take(pa.array(at)))
-            size += batch.nbytes
-            if size > group:
-                yield from flush()
-                held, size = defaultdict(list), 0
-        yield from flush()
+            step = max(1, PACKET * batch.num_rows // max(1, 4 * batch.nbytes))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                gs = part.column(0).to_numpy()
+                for g in np.unique(gs).tolist():
+                    mine = np.flatnonzero(gs == g)
+                    held[g].append(part if len(mine) == len(gs) else part.take(pa.array(mine)))
+                    sizes[g] += held[g][-1].nbytes
+                    if sizes[g] >= PACKET:
+                        yield packet(g)
+        for g in list(held):
+            yield packet(g)
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cuts of a group's words, then its packets."""
