@@ -71,6 +71,7 @@ class Model:
                 back = text.replace(BLANK, " ").encode()
             self.back.append(back)
         self.longest = max(map(len, self.pieces))
+        self._coded: dict[str, bytes] = {}
         self.words = re.compile(self._pattern()).findall
 
     def _pattern(self) -> str:
@@ -111,14 +112,23 @@ class Model:
             return [self.unknown]
         return [self.bytes[b] for b in piece.encode("utf-8", "replace")]
 
-    def cut(self, word: str, mask: int) -> list[int]:
-        """Ids of a word that is cut where ``mask`` has a bit."""
-        out, at = [], 0
-        for k in range(1, len(word) + 1):
-            if mask >> k & 1:
-                out += self.ids(word[at:k])
-                at = k
-        return out
+    def coded(self, piece: str) -> bytes:
+        """Ids of a piece as bytes, remembered for pieces of the table and for characters."""
+        found = self._coded.get(piece)
+        if found is None:
+            found = self._coded[piece] = array("i", self.ids(piece)).tobytes()
+        return found
+
+    def cut(self, word: str, mask: int) -> bytes:
+        """Ids of a word that is cut where ``mask`` has a bit, as bytes."""
+        out, at, coded = [], 0, self.coded
+        mask &= -2
+        while mask:
+            low = mask & -mask
+            till = low.bit_length() - 1
+            out.append(coded(word[at:till]))
+            at, mask = till, mask ^ low
+        return b"".join(out)
 
     def merged(self, word: str) -> list[int]:
         """Ids of a word of any length."""
@@ -261,18 +271,37 @@ def _stretches(text: str) -> list[str]:
 
 
 class _Known(dict):
-    """Ids of a group's stretches (with a blank before each) as bytes, made when first asked for."""
+    """Ids of a group's stretches (with a blank before each) as bytes.
+
+    A word that starts with a blank is a stretch itself; other words are kept aside, and the stretches that are made
+    of several words are forgotten when they are ``GATHER``.
+    """
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.cuts = model, {}
+        self.model, self.inner, self.made = model, {}, []
+
+    def learn(self, words: list[str], cuts: list[int]) -> None:
+        cut = self.model.cut
+        for w, mask in zip(words, cuts, strict=True):
+            if w[0] == " ":
+                self[w[1:]] = cut(w, mask)
+            else:
+                self.inner[w] = cut(w, mask)
+
+    def _word(self, word: str) -> bytes:
+        m = self.model
+        found = self.get(word[1:]) if word[0] == " " else self.inner.get(word)
+        # Words that no edge joins are their characters.
+        return found if found is not None else m.coded(word) if len(word) < 2 else b"".join(map(m.coded, m.merges(word)[0]))
 
     def __missing__(self, stretch: str) -> bytes:
-        m, ids = self.model, []
-        for word in m.words(" " + stretch):
-            mask = self.cuts.get(word)
-            ids += m.ids(word) if len(word) < 2 else m.merged(word) if mask is None else m.cut(word, mask)
-        found = self[stretch] = array("i", ids).tobytes()
+        found = self[stretch] = b"".join(map(self._word, self.model.words(" " + stretch)))
+        self.made.append(stretch)
+        if len(self.made) >= GATHER:
+            for s in self.made:
+                del self[s]
+            self.made = []
         return found
 
 
@@ -372,7 +401,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
                     at, known = gs[start], _Known(m)
                 is_cut = words.slice(start, till - start).is_valid().to_numpy(zero_copy_only=False)
                 n_cuts = int(is_cut.sum())  # they come first
-                known.cuts.update(zip(words.slice(start, n_cuts).to_pylist(), batch.column(2).slice(start, n_cuts).to_pylist(), strict=True))
+                known.learn(words.slice(start, n_cuts).to_pylist(), batch.column(2).slice(start, n_cuts).to_pylist())
                 for cargo in batch.column(3).slice(start + n_cuts, till - start - n_cuts):
                     for part in pa.ipc.open_stream(unpack.decompress(cargo.as_py())):
                         yield _encoded(part, m, known, back, names[n], own, [*keep, ids_name, good])
