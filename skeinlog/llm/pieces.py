@@ -43,7 +43,7 @@ from .common import col, fresh, quoted, staged
 
 SHORT = 60
 #: Bytes of text in a group, groups in a slab, bytes of text in a packet of rows, words that a worker gathers.
-GROUP, SLAB, PACKET, GATHER = 32 << 20, 32, 1 << 20, 150_000
+GROUP, SLAB, PACKET, GATHER = 32 << 20, 32, 1 << 20, 300_000
 #: The model's sign for a blank; texts are read with blanks in its place.
 BLANK = "▁"
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -289,14 +289,19 @@ class _Known(dict):
             else:
                 self.inner[w] = cut(w, mask)
 
-    def _word(self, word: str) -> bytes:
+    def _slow(self, word: str) -> bytes:
+        """A word that no edge joins: its characters."""
         m = self.model
-        found = self.get(word[1:]) if word[0] == " " else self.inner.get(word)
-        # Words that no edge joins are their characters.
-        return found if found is not None else m.coded(word) if len(word) < 2 else b"".join(map(m.coded, m.merges(word)[0]))
+        if len(word) > 1:
+            return b"".join(map(m.coded, m.merges(word)[0]))
+        found = self.inner[word] = m.coded(word)
+        return found
 
     def __missing__(self, stretch: str) -> bytes:
-        found = self[stretch] = b"".join(map(self._word, self.model.words(" " + stretch)))
+        parts, known, slow = self.model.words(" " + stretch), self.inner.get, self._slow
+        first = parts[0]
+        parts[0] = (self.get(first[1:]) if len(first) > 1 else None) or known(first) or slow(first)
+        found = self[stretch] = b"".join([parts[0], *[known(w) or slow(w) for w in parts[1:]]])
         self.made.append(stretch)
         if len(self.made) >= GATHER:
             for s in self.made:
