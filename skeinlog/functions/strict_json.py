@@ -26,14 +26,32 @@ def stringify(value) -> str | None:
     if isinstance(value, bool):
         return "true" if value else "false"
     if isinstance(value, float):
-        text = format(Decimal(repr(value)), "f")
-        return text.rstrip("0").rstrip(".") if "." in text else text
-    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        return _plain(value)
+    text = _nested(value)
     for c in "<>&":
         text = text.replace(c, f"\\u{ord(c):04x}")
     return text
 
 
+def _plain(value: float) -> str:
+    """The shortest decimal form, without an exponent."""
+    text = format(Decimal(repr(value)), "f")
+    return text.rstrip("0").rstrip(".") if "." in text else text
+
+
+def _nested(value) -> str:
+    """JSON text of a value inside another: numbers in their shortest form, with an exponent where very small or large."""
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{_nested(k)}:{_nested(value[k])}" for k in sorted(value)) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_nested, value)) + "]"
+    if isinstance(value, float):
+        if value and not 1e-6 <= abs(value) < 1e21:
+            return format(Decimal(repr(value)).normalize(), "e")
+        return _plain(value)
+    return json.dumps(value, ensure_ascii=False)
+
+
 def read_object(line: str | None) -> dict[str, str | None] | None:
     """The object's values as texts, or None for anything but an object."""
     try:

@@ -23,6 +23,12 @@ def mark_first(df: DataFrame, key: str = "id", order: str = S.SEQ) -> DataFrame:
     return joined.withColumn("_duplicate", F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_k", "_first")
 
 
+def mark_accepted(checked: DataFrame, key: str = "id", order: str = S.SEQ) -> DataFrame:
+    """``_duplicate`` among the rows that passed the checks (``_error`` is null): a rejected entry doesn't use up its id."""
+    passed = F.when(F.col("_error").isNull(), F.col(key))
+    return mark_first(checked.withColumn("_passed", passed), "_passed", order).drop("_passed")
+
+
 def within_window(df: DataFrame, key: str = "id", arrival: str = S.ARRIVAL, order: str = S.SEQ, window: timedelta = S.DEDUP_WINDOW) -> DataFrame:
     """Rows that aren't duplicates: an id is new if unseen or last *accepted* more than ``window`` ago.
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.level import DEFAULT, detect_level
+from ..functions.let import let
 from ..functions.timestamps import parse_timestamp
 
 # Names of the columns in JSON lines; the first that is there wins.
@@ -77,27 +78,31 @@ def parse_json(line: Column, ctx: Context, now: Column, strict: bool = False) ->
     ``strict`` reads exactly, at the price of a Python step."""
     from ..functions.strict_json import strict_json_map
 
-    text = _blank_trim(line)
-    shaped = text.startswith("{") & text.endswith("}")
-    read = strict_json_map(text) if strict else F.from_json(text, "map<string,string>")
-    # Equal keys: the last one stays (the session's policy).
-    pairs = F.when(shaped, F.map_from_entries(F.map_entries(read)))
-    lower = F.transform_keys(pairs, lambda k, v: F.lower(k))
-    get = lambda name: F.try_element_at(lower, F.lit(name))
-    full = lambda name: F.nullif(get(name), F.lit(""))
-    names = [a for aliases in JSON_ALIASES.values() for a in aliases]
-    rest = F.map_filter(pairs, lambda k, v: ~F.lower(k).isin(names) & v.isNotNull())
-    fields = F.map_concat(ctx.fields(), rest) if ctx.tags else rest
-    is_null = text == "null"
-    return _entry(
-        F.coalesce(*[parse_timestamp(get(a)) for a in JSON_ALIASES["timestamp"]], now),
-        F.coalesce(*[full(a) for a in JSON_ALIASES["host"]], F.lit(ctx.host)),
-        F.coalesce(*[full(a) for a in JSON_ALIASES["source"]], F.lit(ctx.source)),
-        F.upper(F.coalesce(*[full(a) for a in JSON_ALIASES["level"]], F.lit(DEFAULT))),
-        F.coalesce(*[get(a) for a in JSON_ALIASES["message"]], text),
-        F.when(F.size(fields) > 0, fields).when(is_null, ctx.fields()),
-        F.when(pairs.isNull() & ~is_null, NOT_JSON),
-    )
+    def entry(text: Column, pairs: Column, lower: Column) -> Column:
+        get = lambda name: F.try_element_at(lower, F.lit(name))
+        full = lambda name: F.nullif(get(name), F.lit(""))
+        names = [a for aliases in JSON_ALIASES.values() for a in aliases]
+        rest = F.map_filter(pairs, lambda k, v: ~F.lower(k).isin(names) & v.isNotNull())
+        fields = F.map_concat(ctx.fields(), rest) if ctx.tags else rest
+        is_null = text == "null"
+        return _entry(
+            F.coalesce(*[parse_timestamp(get(a)) for a in JSON_ALIASES["timestamp"]], now),
+            F.coalesce(*[full(a) for a in JSON_ALIASES["host"]], F.lit(ctx.host)),
+            F.coalesce(*[full(a) for a in JSON_ALIASES["source"]], F.lit(ctx.source)),
+            F.upper(F.coalesce(*[full(a) for a in JSON_ALIASES["level"]], F.lit(DEFAULT))),
+            F.coalesce(*[get(a) for a in JSON_ALIASES["message"]], text),
+            let(fields, lambda f: F.when(F.size(f) > 0, f).when(is_null, ctx.fields())),
+            F.when(pairs.isNull() & ~is_null, NOT_JSON),
+        )
+
+    def read(text: Column, found: Column) -> Column:
+        # Equal keys: the last one stays (the session's policy).
+        pairs = F.when(text.startswith("{") & text.endswith("}"), F.map_from_entries(F.map_entries(found)))
+        return let(pairs, lambda p: let(F.transform_keys(p, lambda k, v: F.lower(k)), lambda lower: entry(text, p, lower)))
+
+    if strict:  # a Python step can't stand inside a lambda
+        return let(strict_json_map(_blank_trim(line)), lambda found: let(_blank_trim(line), lambda text: read(text, found)))
+    return let(_blank_trim(line), lambda text: read(text, F.from_json(text, "map<string,string>")))
 
 
 _CLASSES = {
@@ -153,11 +158,17 @@ def translate_pattern(pattern: str) -> tuple[str, dict[int, str]]:
 
 def parse_regexp(line: Column, pattern: str, ctx: Context, now: Column) -> Column:
     java, names = translate_pattern(pattern)
-    text = _strip_line_end(line)
+    # All groups of the match at once; a line without a match has none, and a group that took no part is empty.
+    groups = lambda text: F.array(*[F.regexp_extract(text, java, n) for n in sorted(names)], F.regexp_like(text, F.lit(java)).cast("string"))
+    return let(_strip_line_end(line), lambda text: let(groups(text), lambda got: _of_groups(text, got, names, ctx, now)))
+
+
+def _of_groups(text: Column, got: Column, names: dict[int, str], ctx: Context, now: Column) -> Column:
+    """The entry of a line whose groups, and whether it matches, are in ``got``."""
     found = {"host": [], "source": [], "level": [], "message": [], "timestamp": []}
     others: dict[str, Column] = {}
-    for number, name in names.items():
-        value = F.regexp_extract(text, java, number)
+    for place, (_, name) in enumerate(sorted(names.items())):
+        value = F.get(got, F.lit(place))
         target = next((t for t, aliases in GROUP_ALIASES.items() if name.lower() in aliases), None)
         if target:
             found[target].append(value)
@@ -174,18 +185,19 @@ def parse_regexp(line: Column, pattern: str, ctx: Context, now: Column) -> Colum
         F.upper(last["level"][0]) if last["level"] else F.lit(DEFAULT),
         last["message"][0] if last["message"] else text,
         fields,
-        F.when(text == "", EMPTY_LINE).when(~text.rlike(java), NO_MATCH),
+        F.when(text == "", EMPTY_LINE).when(F.get(got, F.lit(len(names))) == "false", NO_MATCH),
     )
 
 
 def parse_auto(line: Column, ctx: Context, now: Column, strict: bool = False) -> Column:
     """JSON if the line looks like an object and reads as one, else text of the untrimmed line."""
-    trimmed = _blank_trim(line)
-    as_json = parse_json(line, ctx, now, strict)
-    looks = trimmed.startswith("{") & trimmed.endswith("}") & as_json["error"].isNull()
-    as_text = parse_text(line, ctx, now)
-    failed = as_text.withField("error", F.lit(EMPTY_LINE))
-    return F.when(trimmed == "", failed).when(looks, as_json).otherwise(as_text)
+    def choose(trimmed: Column, as_json: Column) -> Column:
+        as_text = parse_text(line, ctx, now)
+        failed = as_text.withField("error", F.lit(EMPTY_LINE))
+        looks = trimmed.startswith("{") & trimmed.endswith("}") & as_json["error"].isNull()
+        return F.when(trimmed == "", failed).when(looks, as_json).otherwise(as_text)
+
+    return let(parse_json(line, ctx, now, strict), lambda as_json: let(_blank_trim(line), lambda trimmed: choose(trimmed, as_json)))
 
 
 def parser(fmt: str, ctx: Context, now: Column, pattern: str = "", strict: bool = False):
@@ -205,8 +217,13 @@ def parser(fmt: str, ctx: Context, now: Column, pattern: str = "", strict: bool
 
 def with_fallback(parsed: Column, line: Column, ctx: Context, now: Column) -> Column:
     """Unparsed lines become INFO entries of the raw line without tags; ``error`` still tells them."""
-    plain = _entry(now, F.lit(ctx.host), F.lit(ctx.source), F.lit(DEFAULT), line, F.lit(None), parsed["error"])
-    return F.when(parsed["error"].isNull(), parsed).otherwise(plain)
+    return let(parsed, lambda entry: _or_plain(entry, line, ctx, now))
+
+
+def _or_plain(entry: Column, line: Column, ctx: Context, now: Column) -> Column:
+    error = entry["error"]
+    plain = _entry(now, F.lit(ctx.host), F.lit(ctx.source), F.lit(DEFAULT), line, F.lit(None), error)
+    return F.when(error.isNull(), entry).otherwise(plain)
 
 
 def parse_lines(lines: DataFrame, fmt: str, ctx: Context, now: Column, pattern: str = "", line_col: str = "value", strict: bool = False) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +15,11 @@ from .. import schema as S
 def with_partitions(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     return df.withColumns({S.DATE: F.to_date(ts), S.HOUR: F.hour(ts), "host_lc": F.lower("host"), "source_lc": F.lower("source")})
 
+#: Times in JSON Lines segments keep their microseconds.
+JSON_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+#: The innermost partition key: which load wrote a file.
+LOAD = "load"
+
 
 class LogStore:
     """Append, read, list and prune.  ``path`` may be anything that Spark writes to."""
@@ -20,14 +27,25 @@ class LogStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def append(self, entries: DataFrame) -> None:
-        """One file a segment and task; a busy segment is spread by a salt, so it isn't one task."""
-        parts = with_partitions(entries)
+    def append(self, entries: DataFrame, load: str = "") -> None:
+        """One file a segment and task; a busy segment is spread by a salt, so it isn't one task.
+
+        ``load`` names what is appended (a batch of a stream): what an earlier attempt at the same load wrote goes first.
+        """
+        if load:
+            self.forget(load)
+        parts = with_partitions(entries).withColumn(LOAD, F.lit(load or uuid.uuid4().hex))
         salt = F.pmod(F.xxhash64("id"), F.lit(8))
-        parts.repartition(S.DATE, S.HOUR, salt).write.mode("append").partitionBy(S.DATE, S.HOUR).parquet(self.path)
+        parts.repartition(S.DATE, S.HOUR, salt).write.mode("append").partitionBy(S.DATE, S.HOUR, LOAD).parquet(self.path)
+
+    def forget(self, load: str) -> None:
+        """Drop what a load wrote; a listing by name, no data is read."""
+        fs, path = self._fs()
+        for found in fs.globStatus(path(f"{self.path}/{S.DATE}=*/{S.HOUR}=*/{LOAD}={load}")) or []:
+            fs.delete(found.getPath(), True)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.parquet(self.path).drop(LOAD)
 
     def query(self, query) -> DataFrame:
         from .query import run
@@ -73,10 +91,22 @@ class LogStore:
                 dropped, freed, left = dropped + 1, freed + size, left - size
         return dropped, freed
 
+    def retention(self, max_age: timedelta = S.RETENTION_AGE, max_bytes: int = S.RETENTION_BYTES, every: timedelta = S.RETENTION_INTERVAL) -> Callable:
+        """A function to call as often as one likes with the time: it prunes once ``every`` so much, the first time at once."""
+        last: list[datetime] = []
+
+        def tick(now: datetime) -> tuple[int, int] | None:
+            if last and now - last[0] < every:
+                return None
+            last[:] = [now]
+            return self.prune(now, max_age, max_bytes)
+
+        return tick
+
     def export_json(self, path: str) -> None:
         """JSON Lines by segment."""
         names = [F.col(c) for c in S.ENTRY_COLUMNS]
-        self.read().select(*names, S.DATE, S.HOUR).write.partitionBy(S.DATE, S.HOUR).json(path)
+        self.read().select(*names, S.DATE, S.HOUR).write.partitionBy(S.DATE, S.HOUR).option("timestampFormat", JSON_TIME).json(path)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:

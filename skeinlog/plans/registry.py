@@ -168,25 +168,13 @@ def _json_lines(spark, sf_dir):
 _JSON_FAILED = "seq % 11 = 0"
 
 
-@registered(
-    f"""select id, epoch_us(date_trunc('second', ts)) as micros, host, case when seq % 5 = 0 then 'app' else source end as source, level, message, false as failed,
-    k as extra, 'prod' as env from logs where not ({_JSON_FAILED})"""
-)
-def q_parse_json(spark, sf_dir):
-    df = _json_lines(spark, sf_dir).where(f"not ({_JSON_FAILED})")
-    out = df.withColumn("e", parse.parse_json(F.col("line"), _CTX, _now()))
-    fields = [F.try_element_at("e.fields", F.lit(x)).alias(y) for x, y in (("Extra", "extra"), ("env", "env"))]
-    return out.select("id", F.unix_micros("e.timestamp").alias("micros"), "e.host", "e.source", "e.level", "e.message", F.col("e.error").isNotNull().alias("failed"), *fields)
-
-
 @registered(
     f"""select id, epoch_us(date_trunc('second', ts)) as micros, host, case when seq % 5 = 0 then 'app' else source end as source, level, message, false as failed,
     k as extra, 'prod' as env from logs where not ({_JSON_FAILED})
     union all select id, {_NOW_MICROS}, 'edge-1', 'app', 'INFO', {_JSON_LINE}, true, null, null
     from (select *, epoch(date_trunc('second', ts))::bigint as epoch_s from logs) where {_JSON_FAILED}"""
 )
-def q_parse_json_all(spark, sf_dir):
-    """Every line, those that fail too; ``q_parse_json`` leaves them out."""
+def q_parse_json(spark, sf_dir):
     df = _json_lines(spark, sf_dir).withColumn("p", parse.parse_json(F.col("line"), _CTX, _now()))
     e = parse.with_fallback(F.col("p"), F.col("line"), _CTX, _now())
     fields = [F.try_element_at("e.fields", F.lit(x)).alias(y) for x, y in (("Extra", "extra"), ("env", "env"))]
@@ -232,18 +220,6 @@ def q_parse_regexp(spark, sf_dir):
 _EPOCH = "case event_id % 4 when 0 then event_id * 170000 when 1 then 100000000001 + event_id * 98765432 when 2 then 100000000000000 + event_id * 98765432101 else 100000000000000000 + event_id * 98765432101234 end"
 
 
-@registered(
-    f"""select event_id, {_EPOCH} as n, case when {_EPOCH} > 100000000000 and {_EPOCH} < 100000000000000 then {_EPOCH} * 1000
-    when {_EPOCH} >= 100000000000000 and {_EPOCH} < 100000000000000000 then {_EPOCH} when {_EPOCH} >= 100000000000000000 then {_EPOCH} // 1000
-    else {_EPOCH} * 1000000 end as micros from events where event_id < 80000""",
-    with_logs=False,
-)
-def q_parse_epoch(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 80000")
-    df = events.select("event_id", F.expr(_EPOCH).cast("long").alias("n"))
-    return df.withColumn("micros", F.unix_micros(timestamps.parse_epoch(F.col("n"))))
-
-
 #: In range for any id: the value wraps, all rows stay.
 _EPOCH_ALL = _EPOCH.replace("event_id *", "event_id % 80000 *")
 
@@ -253,8 +229,7 @@ _EPOCH_ALL = _EPOCH.replace("event_id *", "event_id % 80000 *")
     when n >= 100000000000000000 then n // 1000 else n * 1000000 end as micros from (select event_id, {_EPOCH_ALL} as n from events)""",
     with_logs=False,
 )
-def q_parse_epoch_all(spark, sf_dir):
-    """Over every event; ``q_parse_epoch`` ends at an id."""
+def q_parse_epoch(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     df = events.select("event_id", F.expr(_EPOCH_ALL).cast("long").alias("n"))
     return df.withColumn("micros", F.unix_micros(timestamps.parse_epoch(F.col("n"))))
@@ -288,20 +263,25 @@ checked as (select *, case when trim(h) = '' then '{S.ERROR_MISSING_HOST}' when
     when message = '' then '{S.ERROR_MISSING_MESSAGE}' when strlen(message) > 59 then '{S.ERROR_MESSAGE_TOO_LARGE}' end as e from named)"""
 
 
-def _checked(spark, sf_dir):
+def _checked(spark, sf_dir, extra=None):
     agent = F.when(F.col("batch") != 0, F.concat(F.lit("agent-"), F.col("batch").cast("string")))
-    named = ingest.default_host(_faulty(spark, sf_dir), agent)
+    faulty = _faulty(spark, sf_dir)
+    named = ingest.default_host(faulty if extra is None else faulty.withColumn("extra", extra), agent)
     return ingest.validate(named, _now(), 59)
 
 
 @registered(
     _CHECKED
-    + """select batch, count(*) filter (e is null) as accepted, 0::bigint as duplicates, count(*) filter (e is not null) as errors,
+    + """, seen as (select *, row_number() over (partition by e is null, batch, hour(ts), level order by seq) > 1 as again from (select c.*, l.seq, l.ts from checked c join logs l using (id)))
+    select batch, count(*) filter (e is null and not again) as accepted, count(*) filter (e is null and again) as duplicates, count(*) filter (e is not null) as errors,
     coalesce((select string_agg(x, '; ' order by x) from (select distinct e as x from checked d where d.batch = c.batch and e is not null)), '') as error_texts
-    from checked c group by batch"""
+    from seen c group by batch"""
 )
 def q_validate_summary(spark, sf_dir):
-    return ingest.summary(_checked(spark, sf_dir).withColumn("_duplicate", F.lit(False)), ["batch"])
+    """Entries of a batch, hour and level share an id here, so all but the first of them that pass the checks repeat it."""
+    same = F.concat_ws("|", "batch", F.hour("timestamp"), "level")
+    checked = _checked(spark, sf_dir, F.struct(same.alias("same"), "seq"))
+    return ingest.summary(dedup.mark_accepted(checked.withColumns({"key": F.col("extra.same"), "seq": F.col("extra.seq")}), "key", "seq"), ["batch"])
 
 
 @registered(
@@ -320,21 +300,11 @@ def _new_entries(df):
     return ingest.normalise(raw, _now(), F.col("id"))
 
 
-@registered(
-    """select id, row_number() over (order by seq) - 1 as rank, case when trim(lvl) = '' then 'INFO' else upper(trim(lvl)) end as level, trim(h) as host
-    from (select *, case seq % 3 when 0 then '  ' when 1 then ' ' || lower(level) || ' ' else level end as lvl, '  ' || host || ' ' as h from logs) where seq < 500"""
-)
-def q_new_entries(spark, sf_dir):
-    out = _new_entries(logs(spark, sf_dir).where("seq < 500"))
-    return out.select("id", (F.row_number().over(Window.orderBy("seq")) - 1).alias("rank"), "level", "host")
-
-
 @registered(
     """select id, case when trim(lvl) = '' then 'INFO' else upper(trim(lvl)) end as level, trim(h) as host
     from (select *, case seq % 3 when 0 then '  ' when 1 then ' ' || lower(level) || ' ' else level end as lvl, '  ' || host || ' ' as h from logs)"""
 )
-def q_new_entries_all(spark, sf_dir):
-    """Over all logs, row by row; ``q_new_entries`` takes 500 and ranks them in one task."""
+def q_new_entries(spark, sf_dir):
     return _new_entries(logs(spark, sf_dir)).select("id", "level", "host")
 
 
@@ -502,6 +472,75 @@ def q_spool_size(spark, sf_dir):
     return sized.agg(F.sum("bytes").cast("long").alias("bytes"), F.sum("events").alias("events"), F.count("*").alias("files"))
 
 
+_STAMPS = (
+    "case seq % 6 when 0 then strftime(ts, '%Y-%m-%dT%H:%M:%SZ') when 1 then strftime(ts, '%Y-%m-%d %H:%M:%S') when 2 then strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:00'"
+    " when 3 then cast(epoch(date_trunc('second', ts))::bigint as varchar) when 4 then strftime(ts, '%Y-%m-%dT%H:%M:%S') else strftime(ts, '%a, %d %b %Y %H:%M:%S') || ' +0100' end"
+)
+
+
+@registered(
+    f"""select id, {_STAMPS} as stamp, case seq % 6 when 4 then null when 2 then epoch(date_trunc('second', ts))::bigint - 7200
+    when 5 then epoch(date_trunc('second', ts))::bigint - 3600 else epoch(date_trunc('second', ts))::bigint end as seconds from logs"""
+)
+def q_parse_timestamp(spark, sf_dir):
+    at, kind = F.col("ts").cast("timestamp"), F.col("seq") % 6
+    whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+    stamp = (
+        F.when(kind == 0, F.concat(whole, F.lit("Z"))).when(kind == 1, F.date_format(at, "yyyy-MM-dd HH:mm:ss")).when(kind == 2, F.concat(whole, F.lit("+02:00")))
+        .when(kind == 3, F.unix_seconds(at).cast("string")).when(kind == 4, whole).otherwise(F.concat(F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0100")))
+    )
+    return logs(spark, sf_dir).select("id", stamp.alias("stamp"), F.unix_seconds(timestamps.parse_timestamp(stamp)).alias("seconds"))
+
+
+@registered(
+    """select id, cast(seq as varchar) as whole, case when seq % 2 = 0 then 'true' else 'false' end as yes, '{"a":[1,2.5,' || seq || '],"b":"' || host || '"}' as nested,
+    case when seq % 3 = 0 then cast(seq // 3 as varchar) else null end as quotient, '\\u003c' || '1' as tag from logs"""
+)
+def q_stringify(spark, sf_dir):
+    """Exact reading of JSON values: numbers in their shortest form, nested values as sorted JSON, null left out."""
+    from ..functions.strict_json import strict_json_map
+
+    line = F.concat(
+        F.lit('{"whole":'), "seq", F.lit('.0,"yes":'), F.when(F.col("seq") % 2 == 0, "true").otherwise("false"), F.lit(',"nested":{"b":"'), "host",
+        F.lit('","a":[1.0,2.50,'), "seq", F.lit('e0]},"quotient":'), F.when(F.col("seq") % 3 == 0, (F.col("seq") / 3).cast("long").cast("string")).otherwise("null"), F.lit(',"tag":["<1"]}'),
+    )
+    out = logs(spark, sf_dir).withColumn("read", strict_json_map(line))
+    get = lambda name: F.try_element_at("read", F.lit(name))
+    return out.select("id", *[get(n).alias(n) for n in ("whole", "yes", "nested", "quotient")], F.substring(get("tag"), 3, 7).alias("tag"))
+
+
+@registered(
+    """select id, '{' || chr(10) || '  "id" : "' || id || '",' || chr(10) || '  "level" : "' || level || '",' || chr(10) || '  "message" : "' || message || '"' || chr(10) || '}' as raw from logs"""
+)
+def q_raw_json(spark, sf_dir):
+    return logs(spark, sf_dir).select("id", dashboard.raw_json("id", "level", "message").alias("raw"))
+
+
+@registered("select source, min(late) as least, quantile_disc(late, 0.5) as p50, max(late) as most from (select source, (seq % 97) * 3 as late from logs) group by source")
+def q_latency(spark, sf_dir):
+    """How long entries take to arrive, in milliseconds, by source."""
+    df = logs(spark, sf_dir).withColumn("timestamp", F.col("ts").cast("timestamp"))
+    df = df.withColumn("_arrival", F.timestamp_micros(F.unix_micros("timestamp") + (F.col("seq") % 97) * 3000))
+    out = aggregates.latency(df, at=(0.0, 0.5, 1.0), by=("source",))
+    return out.select("source", *[F.col(c).cast("long").alias(n) for c, n in (("p0", "least"), ("p50", "p50"), ("p100", "most"))])
+
+
+@registered(f"select {ENTRY_SQL} from logs")
+def q_segments_jsonl(spark, sf_dir):
+    """Entries written as JSON Lines segments and read back."""
+    df = logs(spark, sf_dir).withColumn("timestamp", F.col("ts").cast("timestamp"))
+    out = _stream_dir(spark, "segments")
+    df.select(*S.ENTRY_COLUMNS, S.DATE, S.HOUR).write.partitionBy(S.DATE, S.HOUR).option("timestampFormat", store.JSON_TIME).json(out)
+    back = store.read_segments(spark, out)
+    return back.select("id", F.col("timestamp").cast("timestamp_ntz").alias("ts"), "host", "source", "level", "message", F.try_element_at("fields", F.lit("k")).alias("k"))
+
+
+@registered("select id, level, message from logs order by seq desc limit 1000")
+def q_client_rows(spark, sf_dir):
+    """What a dashboard holds: the newest thousand."""
+    return aggregates.last_arrivals(logs(spark, sf_dir), S.RING_CAPACITY_LIBRARY).select("id", "level", "message")
+
+
 # Streams, run to their end over what is there.
 
 
@@ -523,13 +562,13 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "false").parquet(sf_dir)
 
 
-@registered("select source, level, count(*) as n from logs where value > 1 group by source, level")
+@registered("select source, level, count(*) as n from logs group by source, level")
 def q_stream_ingest(spark, sf_dir):
     rows = _event_stream(spark, sf_dir).selectExpr(
         "concat('svc-', cast(event_id % 7 as string)) as source",
         "case event_type when 'error' then 'ERROR' when 'purchase' then 'WARN' when 'click' then 'DEBUG' else 'INFO' end as level", "value",
     )
-    return _run_stream(spark, rows.where("value > 1"), "stream_ingest").groupBy("source", "level").agg(F.count("*").alias("n"))
+    return _run_stream(spark, rows, "stream_ingest").groupBy("source", "level").agg(F.count("*").alias("n"))
 
 
 @registered(ORACLE["q_dedup_ttl"].removeprefix(LOGS_SQL))

@@ -1,7 +1,8 @@
 """A streaming source that follows growing files: ``spark.readStream.format("skein_tail")``.
 
 Options: ``paths`` (separated by commas), ``startPosition`` (``beginning`` or ``end``, for a file's first
-opening), ``maxLineBytes``.  Offsets are part of the query's checkpoint: per path the file's device and inode, the
+opening), ``maxLineBytes``, ``maxBytesPerBatch`` (what a batch takes of each file, up to the next line end; 0 for no
+bound; it holds from the second batch after a start on, when the reader knows where the query is).  Offsets are part of the query's checkpoint: per path the file's device and inode, the
 byte up to which complete lines were read.  Every path is a partition of its own.
 
 A rename leaves the old file's rest to be read, then the new file from its start; a file that shrank is read
@@ -22,8 +23,13 @@ from .. import schema as S
 CHUNK = 32 << 10
 
 
-def _complete(path: str, start: int, size: int) -> int:
-    """The byte after the last line end in [start, size)."""
+def _complete(path: str, start: int, size: int, most: int = 0) -> int:
+    """The byte after the last line end in [start, size), or in its first ``most`` bytes (further if no line ends there)."""
+    if most and size - start > most:
+        for end in range(start + most, size, most):
+            if (found := _complete(path, max(start, end - most), end)) > max(start, end - most):
+                return found
+        return _complete(path, start, size)
     end = size
     with open(path, "rb") as f:
         while end > start:
@@ -69,8 +75,8 @@ def _by_newline(chunk: bytes) -> list[bytes]:
 
 
 class _Stretch(InputPartition):
-    def __init__(self, label: str, path: str, inode: int, start: int, end: int):
-        self.label, self.path, self.inode, self.start, self.end = label, path, inode, start, end
+    def __init__(self, label: str, path: str, inode: int, start: int, end: int, turn: int = 1):
+        self.label, self.path, self.inode, self.start, self.end, self.turn = label, path, inode, start, end, turn
 
 
 class TailReader(DataSourceStreamReader):
@@ -78,7 +84,9 @@ class TailReader(DataSourceStreamReader):
         self.paths = [p.strip() for p in options["paths"].split(",") if p.strip()]
         self.from_end = options.get("startposition", options.get("startPosition", "end")) == "end"
         self.max_line = int(options.get("maxlinebytes", options.get("maxLineBytes", S.TAIL_MAX_LINE)))
+        self.most = int(options.get("maxbytesperbatch", options.get("maxBytesPerBatch", 0)))
         self._last: dict | None = None
+        self._planned = False
 
     def initialOffset(self) -> dict:
         out = {}
@@ -98,11 +106,12 @@ class TailReader(DataSourceStreamReader):
             s = os.stat(p)
             same = known[:2] == [s.st_dev, s.st_ino]
             start = known[2] if same and s.st_size >= known[2] else 0
-            now[p] = json.dumps([s.st_dev, s.st_ino, _complete(p, start, s.st_size)])
+            now[p] = json.dumps([s.st_dev, s.st_ino, _complete(p, start, s.st_size, self.most if self._planned else 0)])
         self._last = dict(now)
         return now
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self._last, self._planned = dict(end), True
         out = []
         for p in self.paths:
             old, new = json.loads(start.get(p, "[0, 0, 0]")), json.loads(end.get(p, "[0, 0, 0]"))
@@ -114,7 +123,7 @@ class TailReader(DataSourceStreamReader):
             if old[1] and (moved := self._find(p, old[1])):
                 size = os.path.getsize(moved)
                 if size > old[2]:
-                    out.append(_Stretch(p, moved, old[1], old[2], size))
+                    out.append(_Stretch(p, moved, old[1], old[2], size, 0))
             if new[2]:
                 out.append(_Stretch(p, p, new[1], 0, new[2]))
         return out
@@ -127,7 +136,7 @@ class TailReader(DataSourceStreamReader):
 
     def read(self, partition: _Stretch) -> Iterator[tuple]:
         for line, at in lines_of(partition.path, partition.start, partition.end, self.max_line):
-            yield line, partition.label, partition.inode, at
+            yield line, partition.label, partition.inode, at, partition.turn
 
     def commit(self, end: dict) -> None:
         self._last = self._last or end
@@ -142,7 +151,7 @@ class TailSource(DataSource):
         return "skein_tail"
 
     def schema(self) -> str:
-        return "value string, _path string, _inode long, _offset long"
+        return "value string, _path string, _inode long, _offset long, _turn int"
 
     def streamReader(self, schema) -> TailReader:
         return TailReader(dict(self.options))

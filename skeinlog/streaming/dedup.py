@@ -7,16 +7,26 @@ from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schema as S
 
 
 def within_window(stream: DataFrame, key: str = "id", arrival: str = S.ARRIVAL, window: timedelta = S.DEDUP_WINDOW, expire: bool = True) -> DataFrame:
-    """Rows of the stream that aren't duplicates.  The state of an id is the arrival that opened its window.
+    """Rows of the stream that aren't duplicates."""
+    marked = mark_within_window(stream, key, arrival, window, expire)
+    return marked.where(~F.col("_duplicate")).drop("_duplicate")
 
+
+def mark_within_window(stream: DataFrame, key: str = "id", arrival: str = S.ARRIVAL, window: timedelta = S.DEDUP_WINDOW, expire: bool = True) -> DataFrame:
+    """The stream with ``_duplicate``.  The state of an id is the arrival that opened its window.
+
+    Rows with an ``_error``, where there is such a column, neither open a window nor repeat one.
     States leave some time after their window (``expire``); runs over what is there (``availableNow``) don't wait for that.
     """
+    checked = "_error" in stream.columns
     micros = int(window.total_seconds() * 1_000_000)
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout
@@ -29,17 +39,21 @@ def within_window(stream: DataFrame, key: str = "id", arrival: str = S.ARRIVAL,
         for frame in frames:
             frame = frame.sort_values(arrival, kind="stable")
             at = pd.to_datetime(frame[arrival]).astype("datetime64[us]").astype("int64").tolist()
-            take = []
-            for t in at:
-                fresh = anchor is None or t - anchor > micros
+            bad = frame["_error"].notna().tolist() if checked else [False] * len(at)
+            again = []
+            for t, wrong in zip(at, bad, strict=True):
+                fresh = not wrong and (anchor is None or t - anchor > micros)
                 anchor = t if fresh else anchor
-                take.append(fresh)
-            yield frame[take]
+                again.append(not wrong and not fresh)
+            yield frame.assign(_duplicate=again)
+        if anchor is None:
+            return
         state.update((anchor,))
         if expire:
             state.setTimeoutDuration(max(1, micros // 1000))
 
-    return stream.groupBy(key).applyInPandasWithState(run, stream.schema, "anchor long", "append", timeout)
+    schema = T.StructType([*stream.schema, T.StructField("_duplicate", T.BooleanType())])
+    return stream.groupBy(key).applyInPandasWithState(run, schema, "anchor long", "append", timeout)
 
 
 def approximately(stream: DataFrame, key: str = "id", ts: str = "timestamp", window: timedelta = S.DEDUP_WINDOW) -> DataFrame:

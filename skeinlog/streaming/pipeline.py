@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections import deque
 from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,13 +14,22 @@ from .. import schema as S
 from ..operators import dedup, ingest
 from ..operators.parse import Context, line_id, parse_lines
 from ..operators.store import LogStore
+from .dedup import mark_within_window
+from .metrics import Registry
 
 
 def entries(lines: DataFrame, fmt: str, ctx: Context, now: Column, pattern: str = "") -> DataFrame:
     """Entries of tailed lines; ids come from where a line stands, so a repeated task repeats them."""
     out = parse_lines(lines, fmt, ctx, now, pattern)
     named = out.withColumn("id", line_id(F.lit(ctx.host), F.col("_path"), F.col("_inode"), F.col("_offset")))
-    return named.select(*S.ENTRY_COLUMNS, F.current_timestamp().alias(S.ARRIVAL), F.col("_offset").alias(S.SEQ))
+    # Offsets alone say nothing across files; a renamed file's rest comes before what took its place.
+    order = F.struct(F.current_timestamp().alias("arrival"), F.col("_path").alias("path"), F.col("_turn").alias("turn"), F.col("_offset").alias("offset"))
+    return named.select(*S.ENTRY_COLUMNS, F.current_timestamp().alias(S.ARRIVAL), order.alias(S.SEQ))
+
+
+def checked(stream: DataFrame, max_message_bytes: int = S.MAX_MESSAGE_BYTES, window: timedelta = S.DEDUP_WINDOW, expire: bool = True) -> DataFrame:
+    """The stream's entries after the checks, marked where they repeat an entry of this batch or an earlier one."""
+    return mark_within_window(ingest.validate(stream, F.current_timestamp(), max_message_bytes), window=window, expire=expire)
 
 
 class Ring:
@@ -88,23 +98,36 @@ def envelopes(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(F.lit("log").alias("type"), F.struct(*S.ENTRY_COLUMNS).alias("data"))).alias("value"))
 
 
-def writer(store: LogStore, hub: Hub | None = None, max_message_bytes: int = S.MAX_MESSAGE_BYTES, on_summary: Callable | None = None):
-    """A ``foreachBatch`` function: check, drop repeats inside the batch, append, count, publish.
+def writer(
+    store: LogStore, hub: Hub | None = None, max_message_bytes: int = S.MAX_MESSAGE_BYTES, on_summary: Callable | None = None,
+    name: str = "stream", retention: Callable | None = None, figures: Registry | None = None,
+):
+    """A ``foreachBatch`` function: check, drop repeats, append, count, publish, prune when it is time.
 
-    Repeats across batches are the business of the stateful step before; their state commits with the batch.
+    Entries that come out of ``checked`` are taken as marked there; others are checked here, and repeats are those
+    of the batch alone.  A batch that is tried again replaces what its first attempt wrote: ``name`` and the
+    batch's number name the load.  ``figures`` counts what comes in and what is stored.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        checked = ingest.validate(batch, F.current_timestamp(), max_message_bytes, F.lit(None).cast("string"))
-        checked = dedup.mark_first(checked).persist()
-        good = checked.where(F.col("_error").isNull() & ~F.col("_duplicate"))
-        store.append(good.select(*S.ENTRY_COLUMNS, S.ARRIVAL, S.SEQ))
-        if on_summary:
-            on_summary(number, ingest.summary(checked.withColumn("batch", F.lit(number)), ["batch"]).first())
+        if "_duplicate" not in batch.columns:
+            batch = dedup.mark_accepted(ingest.validate(batch, F.current_timestamp(), max_message_bytes, F.lit(None).cast("string")))
+        marked = batch.persist()
+        good = marked.where(F.col("_error").isNull() & ~F.col("_duplicate"))
+        store.append(good.select(*S.ENTRY_COLUMNS, S.ARRIVAL, S.SEQ), f"{name}-{number}")
+        if on_summary or figures:
+            row = ingest.summary(marked.withColumn("batch", F.lit(number)), ["batch"]).first()
+            if on_summary and row:
+                on_summary(number, row)
+            if figures and row:
+                for kind, name_of in (("accepted", "ingested"), ("duplicates", "duplicate"), ("errors", "rejected")):
+                    figures.add(f"{name_of}_events_total", row[kind])
         if hub is not None:
             # A subscriber can't hold more than its buffer; the newest fill the ring.
             newest = good.orderBy(F.col(S.SEQ).desc()).limit(S.RING_CAPACITY).select(*S.ENTRY_COLUMNS).collect()
             hub.broadcast([r.asDict(recursive=True) for r in reversed(newest)])
-        checked.unpersist()
+        marked.unpersist()
+        if retention:
+            retention(datetime.now(timezone.utc).replace(tzinfo=None))
 
     return run

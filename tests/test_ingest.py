@@ -6,7 +6,7 @@ from skeinlog import schema as S
 from skeinlog.operators import dedup, ingest
 from skeinlog.operators.query import LogQuery, dashboard_filter, from_params
 
-T0 = datetime(2026, 8, 14, 12)
+T0 = datetime(2025, 3, 9, 6, 30)
 
 
 def entries(spark, rows):
@@ -36,19 +36,24 @@ def test_window_is_anchored(spark):
 
 
 def test_match(spark):
-    df = entries(spark, [("1", T0, "srv-01", "nginx", "WARN", "connection timeout to upstream", {"req_id": "xyz-999"})])
-    hour = timedelta(hours=1)
-    cases = [
-        (LogQuery(), True), (LogQuery(host="SRV-01"), True), (LogQuery(host="srv-02"), False), (LogQuery(level="warn"), True), (LogQuery(level="ERROR"), False),
-        (LogQuery(start=T0 - hour, end=T0 + hour), True), (LogQuery(start=T0 + timedelta(minutes=1)), False), (LogQuery(start=T0, end=T0), True),
-        (LogQuery(search="UPSTREAM"), True), (LogQuery(search="xyz-999"), True), (LogQuery(search="req_id"), True), (LogQuery(search="database"), False),
-    ]
-    for q, expected in cases:
+    df = entries(spark, [("1", T0, "Pier-9", "Winch", "ERROR", "Brake pad worn on drum", {"Shift": "night-B"})])
+    cases = {
+        LogQuery(): True, LogQuery(host="pier-9"): True, LogQuery(host="pier"): False, LogQuery(source=" WINCH "): True, LogQuery(source="crane"): False,
+        LogQuery(level=" Error"): True, LogQuery(level="err"): False, LogQuery(start=T0, end=T0): True, LogQuery(start=T0 + timedelta(seconds=1)): False,
+        LogQuery(end=T0 - timedelta(microseconds=1)): False, LogQuery(search="PAD WORN"): True, LogQuery(search="NIGHT"): True, LogQuery(search="shift"): True,
+        LogQuery(search="day"): False, LogQuery(host="PIER-9", level="error", search="drum"): True, LogQuery(host="PIER-9", search="day"): False,
+    }
+    for q, expected in cases.items():
         assert (df.where(q.predicate(df.columns)).count() == 1) is expected, q
-    assert df.where(dashboard_filter(df.columns, host="rv-0", search="NGINX")).count() == 1
+    assert df.where(dashboard_filter(df.columns, host="ER-9", search="winch")).count() == 1
+
+
+def test_rejected_entries_leave_their_id(spark):
+    df = spark.createDataFrame([("a", 1, "bad"), ("a", 2, None), ("a", 3, None), ("", 4, None), ("", 5, None), (None, 6, None)], "id string, _seq long, _error string")
+    assert {r._seq: r._duplicate for r in dedup.mark_accepted(df).collect()} == {1: False, 2: False, 3: True, 4: False, 5: False, 6: False}
 
 
 def test_limits_and_params():
     assert [LogQuery(limit=n).normalised().limit for n in (0, -1, 10_001, 7)] == [100, 100, 10_000, 7]
-    q = from_params({"host": "a", "limit": "x", "start": "2026-08-14T12:00:00Z", "end": "never"})
-    assert (q.host, q.limit, q.start.hour, q.end) == ("a", 0, 12, None)
+    q = from_params({"host": "a", "limit": "x", "start": "2025-03-09T06:30:00Z", "end": "never"})
+    assert (q.host, q.limit, q.start.hour, q.end) == ("a", 0, 6, None)

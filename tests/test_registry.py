@@ -44,16 +44,15 @@ def test_time_bounds_prune_partitions(spark, data, tmp_path):
 
 
 def test_epoch_of_every_event(spark):
-    """Over ids that the narrower query leaves out."""
     folder = "/root/testdata/sf0.1"
-    out = registry.QUERIES["q_parse_epoch_all"](spark, folder)
+    out = registry.QUERIES["q_parse_epoch"](spark, folder)
     assert out.count() == spark.read.parquet(f"{folder}/events.parquet").count() == 100_000
-    same_rows(out, registry.ORACLE["q_parse_epoch_all"], folder)
+    same_rows(out, registry.ORACLE["q_parse_epoch"], folder)
 
 
 def test_json_lines_that_fail(spark, data):
-    """Every line, the malformed ones with default values, which the narrower query leaves out."""
-    out = registry.QUERIES["q_parse_json_all"](spark, data).collect()
+    """Every line, the malformed ones with default values."""
+    out = registry.QUERIES["q_parse_json"](spark, data).collect()
     failed = [r for r in out if r.failed]
     assert (len(out), len(failed)) == (1000, 91)
     assert {(r.micros, r.host, r.source, r.level, r.extra, r.env) for r in failed} == {(1706745600000000, "edge-1", "app", "INFO", None, None)}
@@ -61,6 +60,6 @@ def test_json_lines_that_fail(spark, data):
 
 
 def test_new_entries_of_every_event(spark, data):
-    out = registry.QUERIES["q_new_entries_all"](spark, data)
+    out = registry.QUERIES["q_new_entries"](spark, data)
     assert out.count() == 1000
     assert "Window" not in out._jdf.queryExecution().executedPlan().toString()

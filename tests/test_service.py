@@ -2,7 +2,7 @@ import json
 import os
 import random
 import time
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,10 +17,10 @@ from skeinlog.streaming import delivery, metrics, pipeline
 
 def test_spool_is_fifo_and_capped(spark, tmp_path):
     s = Spool(str(tmp_path / "spool"))
-    s.push([{"message": "msg 1"}, {"message": "msg 2"}])
-    s.push([{"message": "msg 3"}])
+    s.push([{"message": "cast off"}, {"message": "slow ahead"}])
+    s.push([{"message": "hard to port"}])
     assert [r.name for r in read_spool(spark, s.folder).collect()] == s.files()
-    assert [len(s.pop()), s.pop()[0]["message"], s.pop()] == [2, "msg 3", None]
+    assert [len(s.pop()), s.pop()[0]["message"], s.pop()] == [2, "hard to port", None]
     small = Spool(str(tmp_path / "small"), 650)
     for name in "ABC":
         small.push([{"message": name * 200}])
@@ -84,7 +84,7 @@ def test_lines(spark, tmp_path):
 
 def test_tail_reader(tmp_path):
     p = tmp_path / "app.log"
-    p.write_text("line 1\nline 2\nhel")
+    p.write_text("bell\nbuoy\nfo")
     reader = tail.TailReader({"paths": str(p), "startPosition": "beginning"})
 
     def batch(start):
@@ -93,17 +93,17 @@ def test_tail_reader(tmp_path):
         return lines, end
 
     lines, at = batch(reader.initialOffset())
-    assert lines == ["line 1", "line 2"]
+    assert lines == ["bell", "buoy"]
     with p.open("a") as f:
-        f.write("lo world\n")
+        f.write("ghorn twice\n")
     lines, at = batch(at)
-    assert lines == ["hello world"]
+    assert lines == ["foghorn twice"]
     with p.open("a") as f:
-        f.write("old\nrest")
+        f.write("last\nwords")
     os.rename(p, tmp_path / "app.log.1")
-    p.write_text("new\n")
+    p.write_text("first\n")
     lines, at = batch(at)
-    assert lines == ["old", "rest", "new"]
+    assert lines == ["last", "words", "first"]
     p.write_text("x\n")
     os.truncate(p, 0)
     with p.open("a") as f:
@@ -116,22 +116,88 @@ def test_tail_reader(tmp_path):
     assert [x for x, _ in tail.lines_of(str(p), 0, 10, 4)] == ["ines"]
 
 
+def test_admission(tmp_path):
+    p = tmp_path / "app.log"
+    p.write_text("one\n")
+    reader = tail.TailReader({"paths": str(p), "startPosition": "beginning", "maxBytesPerBatch": "8"})
+    at = reader.latestOffset()
+    reader.partitions(reader.initialOffset(), at)
+    with p.open("a") as f:
+        f.write("aa\nbb\ncc\n" + "d" * 30 + "\nee\n")
+    seen = []
+    for _ in range(4):
+        end = reader.latestOffset()
+        seen.append([row[0] for part in reader.partitions(at, end) for row in reader.read(part)])
+        at = end
+    assert seen == [["aa", "bb"], ["cc"], ["d" * 30], ["ee"]]
+
+
+def test_order_over_rotated_files(spark, tmp_path):
+    lines = spark.createDataFrame([("rest", "a.log", 1, 900, 0), ("fresh", "a.log", 2, 0, 1), ("other", "b.log", 3, 40, 1)], "value string, _path string, _inode long, _offset long, _turn int")
+    out = pipeline.entries(lines, "text", Context("h", "s"), F.current_timestamp())
+    assert [r.message for r in out.orderBy("_seq").collect()] == ["rest", "fresh", "other"]
+    assert out.select("id").distinct().count() == 3
+
+
+def test_a_batch_tried_again(spark, tmp_path):
+    """The second attempt replaces the first one's rows; other batches and loads stay."""
+    rows = [(str(i), datetime(2025, 3, 9, 6 + i % 2), "h", "s", "INFO", f"m{i}", None, datetime(2025, 3, 9), i) for i in range(6)]
+    df = spark.createDataFrame(rows, "id string, timestamp timestamp, host string, source string, level string, message string, fields map<string,string>, _arrival timestamp, _seq long")
+    store, figures = LogStore(spark, str(tmp_path / "store")), metrics.Registry("server", metrics.SERVER)
+    pruned = []
+    run = pipeline.writer(store, figures=figures, retention=lambda now: pruned.append(now))
+    run(df.where("_seq < 4"), 0)
+    run(df.where("_seq >= 4"), 1)
+    run(df.where("_seq >= 4"), 1)
+    store.append(df.where("_seq = 0").drop("_arrival"))
+    assert sorted(r.message for r in store.read().collect()) == ["m0", "m0", "m1", "m2", "m3", "m4", "m5"]
+    assert "load" not in store.read().columns and len(pruned) == 3
+    assert "server_ingested_events_total 8" in figures.render()
+    tick = store.retention(timedelta(days=1), 1 << 40, timedelta(minutes=10))
+    now = datetime(2025, 3, 20)
+    assert tick(now)[0] == 2 and tick(now + timedelta(minutes=9)) is None and tick(now + timedelta(minutes=10)) == (0, 0)
+
+
 def test_stream_from_tail_to_store(spark, tmp_path):
     spark.dataSource.register(tail.TailSource)
     p = tmp_path / "app.log"
     p.write_text('{"level":"warn","message":"a"}\nERROR b\n')
-    lines = spark.readStream.format("skein_tail").option("paths", str(p)).option("startPosition", "beginning").load()
-    entries = pipeline.entries(lines, "auto", Context("h", "s"), F.current_timestamp())
     store, seen = LogStore(spark, str(tmp_path / "store")), []
     hub = pipeline.Hub(pipeline.Ring())
-    run = pipeline.writer(store, hub, on_summary=lambda n, row: seen.append(row))
-    q = entries.writeStream.foreachBatch(run).option("checkpointLocation", str(tmp_path / "state")).start()
-    end = time.time() + 60
-    try:
-        while not seen and time.time() < end and q.exception() is None:
-            time.sleep(0.5)
-    finally:
-        q.stop()
-    assert seen and seen[0]["accepted"] == 2
+
+    def start():
+        lines = spark.readStream.format("skein_tail").option("paths", str(p)).option("startPosition", "beginning").load()
+        stream = pipeline.checked(pipeline.entries(lines, "auto", Context("h", "s"), F.current_timestamp()))
+        run = pipeline.writer(store, hub, on_summary=lambda n, row: seen.append(row))
+        return stream.writeStream.foreachBatch(run).option("checkpointLocation", str(tmp_path / "state")).start()
+
+    def until(q, n):
+        end = time.time() + 60
+        try:
+            while sum(r["accepted"] for r in seen) < n and time.time() < end and q.exception() is None:
+                time.sleep(0.5)
+        finally:
+            q.stop()
+
+    until(start(), 2)
+    assert sum(r["accepted"] for r in seen) == 2
     assert sorted((r.level, r.message) for r in store.read().collect()) == [("ERROR", "ERROR b"), ("WARN", "a")]
     assert [e["level"] for e in hub.ring.snapshot()] == ["WARN", "ERROR"]
+    with p.open("a") as f:  # a new start goes on where the checkpoint is
+        f.write("info c\n")
+    until(start(), 3)
+    assert sorted(r.message for r in store.read().collect()) == ["ERROR b", "a", "info c"]
+
+
+def test_stream_marks_repeats_of_earlier_batches(spark, tmp_path):
+    """Entries that were rejected leave their id; later batches know what earlier ones took."""
+    schema = "id string, timestamp timestamp, host string, source string, level string, message string, fields map<string,string>, _arrival timestamp, _seq long"
+    t = datetime(2025, 3, 9)
+    for n, rows in enumerate([[("x", "", 0), ("x", "one", 1), ("y", "two", 2)], [("x", "again", 3), ("z", "three", 4)]]):
+        df = spark.createDataFrame([(i, t, "h", "s", "INFO", m, {"k": m}, t, q) for i, m, q in rows], schema)
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = pipeline.checked(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), expire=False)
+        store = LogStore(spark, str(tmp_path / "store"))
+        q = stream.writeStream.foreachBatch(pipeline.writer(store)).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert sorted((r.id, r.message, r.fields["k"]) for r in store.read().collect()) == [("x", "one", "one"), ("y", "two", "two"), ("z", "three", "three")]
