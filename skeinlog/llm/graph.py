@@ -13,18 +13,19 @@ from pyspark.sql import functions as F
 from .common import drop_staged, staged
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = links.union(links.select(F.col("b"), F.col("a")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    # As a table, so that the join below is one of plain scans, whose busy nodes the engine splits.
+    least = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), least
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = staged(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     joined = down.join(least, "a")
     moved = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), least
 
 
 def _state(links: DataFrame) -> tuple:
@@ -36,8 +37,12 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     now = staged(links.where("a <> b").distinct(), label)
     before = _state(now)
     while before[0]:
-        new = staged(_small_star(_large_star(now)), label)
-        drop_staged(now)
+        star, least = _large_star(now)
+        large = staged(star, label)
+        star, below = _small_star(large)
+        new = staged(star, label)
+        for done in (least, below, large, now):
+            drop_staged(done)
         now, after = new, _state(new)
         if after == before:
             break

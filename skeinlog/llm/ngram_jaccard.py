@@ -10,8 +10,11 @@ overlap.  Documents are therefore first brought together by the same idea of has
 that are similar enough differ in at most ``d`` shingles, so if the shingles are hashed into more than
 ``d`` groups, at least one group holds exactly the same shingles in both.  (level of size, group, content)
 is a key; sets that share a key, directly or over others, form a cluster, and no link leaves a cluster.
-One R-tree is built for each band of sizes of a cluster; what exceeds ``BLOCK`` shingles is split into
-blocks, every pair of blocks a task of its own.
+
+Clusters are refined before a set moves: only the points of their sets, made when the texts are first read, go to the
+R-trees, one for each band of sizes of a cluster, and sets whose boxes and points leave room for a link stay
+together.  The sets of what is left then meet in the same way and are verified.  A cluster beyond ``POINTS`` points or
+``BLOCK`` shingles is split into blocks, every pair of blocks a task of its own.
 
 Equal sets are one node from the start, so copies never pair up.  Inside a task, boxes and pairs that are
 already connected are skipped: what is kept are links enough to connect what is connected, each of them
@@ -34,13 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh, quoted, staged
+from .common import col, drop_staged, fresh, quoted, staged
 from .graph import components
 from .shingles import mix, shingle_set
 
 GROUPS = 128
 #: Most shingles of a task's sets; a cluster beyond that is split into blocks.
 BLOCK = 2_000_000
+#: Most points of a task.
+POINTS = 20_000
 #: The filter of candidate sets' names has two to this power bits, whatever the input.
 FILTER_BITS = 26
 LEAF = 48
@@ -273,14 +278,24 @@ def _may_link(x: dict, y: dict, percent: int) -> bool:
     return (100 + percent) * int(np.minimum(x["hi"], y["hi"]).sum(dtype=np.int64)) >= percent * (x["least"] + y["least"])
 
 
-def verified_links(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Verified links that connect all sets that links connect; with ``sides``, only links across two sides count."""
-    n = len(sets)
+def point_of(h: np.ndarray) -> np.ndarray:
+    """The counts of a set's groups, in the narrowest type that holds them."""
+    x = np.bincount((h >> _U(7)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    return x.astype(np.uint8 if x.max() < 1 << 8 else np.uint16 if x.max() < 1 << 16 else np.int32)
+
+
+def _read_point(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.int32}[len(raw) // GROUPS])
+
+
+def connecting(points: np.ndarray, sizes: np.ndarray, percent: int, sides: np.ndarray | None, linked: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Links that connect all that ``linked`` connects, of the pairs that points and sizes leave room for.
+
+    ``linked`` is asked about pairs that aren't connected yet; with ``sides``, only about pairs across two sides.
+    """
+    n = len(sizes)
     if n < 2:
         return []
-    sizes = np.array([len(s) for s in sets])
-    points = np.stack([np.bincount((s >> _U(7)).astype(np.int64) % GROUPS, minlength=GROUPS) for s in sets])
-    points = points.astype(np.uint16 if points.max() < 1 << 16 else np.int32)
     tree, union, out = CountTree(points, sizes), Union(n), []
 
     def one(node: dict) -> int:
@@ -292,13 +307,10 @@ def verified_links(sets: list[np.ndarray], percent: int, sides: np.ndarray | Non
             node["one"] = roots.pop()
         return union.find(node["one"])
 
-    def verify(i: int, j: int) -> None:
-        if union.find(i) != union.find(j) and (sides is None or sides[i] != sides[j]):
-            a, b = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
-            both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                union.join(i, j)
-                out.append((i, j))
+    def ask(i: int, j: int) -> None:
+        if union.find(i) != union.find(j) and (sides is None or sides[i] != sides[j]) and linked(i, j):
+            union.join(i, j)
+            out.append((i, j))
 
     def meet(x: dict, y: dict) -> None:
         same = one(x)
@@ -311,7 +323,7 @@ def verified_links(sets: list[np.ndarray], percent: int, sides: np.ndarray | Non
             ok = np.triu(ok, 1)
         i, j = np.nonzero(ok)
         for k in np.argsort(-bound[i, j], kind="stable").tolist():
-            verify(int(a[i[k]]), int(b[j[k]]))
+            ask(int(a[i[k]]), int(b[j[k]]))
 
     leaves = tree.leaves()
     for x in leaves:
@@ -332,6 +344,21 @@ def verified_links(sets: list[np.ndarray], percent: int, sides: np.ndarray | Non
     return out
 
 
+def verified_links(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Verified links that connect all sets that links connect; with ``sides``, only links across two sides count."""
+    if len(sets) < 2:
+        return []
+    points = [point_of(s) for s in sets]
+    kind = max((p.dtype for p in points), key=lambda t: t.itemsize)
+
+    def linked(i: int, j: int) -> bool:
+        a, b = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
+        both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+        return 100 * both >= percent * (len(a) + len(b) - both)
+
+    return connecting(np.stack(points).astype(kind), np.array([len(s) for s in sets]), percent, sides, linked)
+
+
 def _slots(names: np.ndarray, size: int) -> np.ndarray:
     """Three of a filter's ``size`` bits for each name."""
     h = mix(names.view(_U))
@@ -355,22 +382,61 @@ def _name_filter(names: DataFrame) -> np.ndarray:
     return out
 
 
-def _true_links(rows: DataFrame, named: DataFrame, clusters: DataFrame, width: int, percent: int, block: int) -> DataFrame:
-    """Verified links (a, b) inside the clusters.
+def _places(named: DataFrame, clusters: DataFrame, percent: int, weight, block: int) -> DataFrame:
+    """(node, root, band, blocks): the bands of its cluster that a set takes part in, and the blocks of each.
 
     Sizes of linked sets differ by a bounded ratio, so a cluster is cut into bands of that ratio: each set goes to its
     own band's task and, as a smaller partner, to the next one's.
     """
-    spark = rows.sparkSession
     ratio = math.log(100 / percent) * 1.0001
     sized = clusters.join(named.where("n > 0").select(F.col("set_a").alias("node"), "n").distinct(), "node")
     own = F.floor(F.log("n") / ratio).cast("int")
-    banded = sized.select("node", "root", "n", F.explode(F.array(own, own + 1)).alias("band"), own.alias("own"))
-    weight = banded.groupBy("root", "band").agg(
-        F.ceil(F.sum("n") / block).cast("int").alias("blocks"), F.count("*").alias("sets"), F.count_if(F.col("own") == F.col("band")).alias("here")
+    banded = staged(sized.select("node", "root", "n", F.explode(F.array(own, own + 1)).alias("band"), own.alias("own")), "banded")
+    weights = banded.groupBy("root", "band").agg(
+        F.ceil(F.sum(weight) / block).cast("int").alias("blocks"), F.count("*").alias("sets"), F.count_if(F.col("own") == F.col("band")).alias("here")
     )
-    weight = weight.where("sets > 1 and here > 0").select("root", "band", "blocks")
-    places = staged(banded.join(weight, ["root", "band"]).select("node", "root", "band", "blocks"), "places")
+    # Both sides as tables: a join of two plain scans is one whose busy keys the engine splits.
+    weights = staged(weights.where("sets > 1 and here > 0").select("root", "band", "blocks"), "weights")
+    places = staged(banded.join(weights, ["root", "band"]).select("node", "root", "band", "blocks"), "places")
+    drop_staged(banded)
+    drop_staged(weights)
+    return places
+
+
+def _dealt(placed: DataFrame, *columns: str) -> DataFrame:
+    """Rows with their pair of blocks (i, j) and their own block, a partition key for each pair."""
+    placed = placed.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("root", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", *columns)
+    # Small clusters are not worth merging into few tasks: their work isn't their size.
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(parts, "root", "band", "i", "j").groupBy("root", "band", "i", "j")
+
+
+def _refined(named: DataFrame, clusters: DataFrame, percent: int, block: int) -> DataFrame:
+    """Clusters (node, root) of those sets that are connected by pairs for which the points leave room."""
+    places = _places(named, clusters, percent, F.lit(1), block)
+    points = named.where("n > 0").select(F.col("set_a").alias("node"), "n", "point").join(clusters.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+    def join(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        node = t.column("node").to_numpy()
+        read = [_read_point(x) for x in t.column("point").to_pylist()]
+        kind = max((p.dtype for p in read), key=lambda k: k.itemsize)
+        sides = None if key[2].as_py() == key[3].as_py() else t.column("mine").to_numpy()
+        pairs = connecting(np.stack(read).astype(kind), t.column("n").to_numpy(), percent, sides, lambda i, j: True)
+        return pa.table({"a": pa.array([node[x] for x, _ in pairs], pa.int64()), "b": pa.array([node[y] for _, y in pairs], pa.int64())})
+
+    links = staged(_dealt(points.join(places, "node"), "n", "point").applyInArrow(join, "a long, b long"), "room")
+    drop_staged(places)
+    out = staged(components(links), "refined")
+    drop_staged(links)
+    return out
+
+
+def _true_links(rows: DataFrame, named: DataFrame, clusters: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """Verified links (a, b) inside the clusters."""
+    spark = rows.sparkSession
+    places = _places(named, clusters, percent, F.col("n"), block)
     # Lets the scan drop most other sets where it runs; the join drops the rest.
     wanted = spark.sparkContext.broadcast(_name_filter(places.select("node")))
 
@@ -397,10 +463,6 @@ def _true_links(rows: DataFrame, named: DataFrame, clusters: DataFrame, width: i
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=names)
 
     sets = rows.select("x_").mapInArrow(found, "node long, size long, h binary")
-    placed = sets.join(places, "node")
-    placed = placed.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("root", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "h")
 
     def link(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         # A set that several scan tasks met is here as often.
@@ -412,9 +474,7 @@ def _true_links(rows: DataFrame, named: DataFrame, clusters: DataFrame, width: i
         pairs = verified_links(hs, percent, sides)
         return pa.table({"a": pa.array([node[x] for x, _ in pairs], pa.int64()), "b": pa.array([node[y] for _, y in pairs], pa.int64())})
 
-    # Small clusters are not worth merging into few tasks: their work isn't their size.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartition(parts, "root", "band", "i", "j").groupBy("root", "band", "i", "j").applyInArrow(link, "a long, b long")
+    return _dealt(sets.join(places, "node"), "h").applyInArrow(link, "a long, b long")
 
 
 def similar_documents(
@@ -427,22 +487,26 @@ def similar_documents(
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(col(docs, id_col).alias("i_"), col(docs, text_col).alias("x_"))
-    schema = rows.select("i_", *[F.lit(0).cast("long").alias(c) for c in ("n", "set_a", "set_b")]).schema
+    schema = rows.select("i_", *[F.lit(0).cast("long").alias(c) for c in ("n", "set_a", "set_b")], F.lit(None).cast("binary").alias("point")).schema
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, points = [], []
             for text in batch.column(1):
                 h = shingle_set(text.as_py(), width)
                 out.append((len(h), *_identity(h)) if len(h) else (0, 0, 0))
+                points.append(point_of(h).tobytes() if len(h) else None)
             x = np.array(out, object).reshape(-1, 3)
-            cols = [pa.array(x[:, 0].astype(np.int64)), _signed(x[:, 1].astype(_U)), _signed(x[:, 2].astype(_U))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["i_", "n", "set_a", "set_b"])
+            cols = [pa.array(x[:, 0].astype(np.int64)), _signed(x[:, 1].astype(_U)), _signed(x[:, 2].astype(_U)), pa.array(points, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["i_", "n", "set_a", "set_b", "point"])
 
     sets = staged(rows.mapInArrow(named, schema), "named")
     links = staged(candidate_links(rows.select("x_"), _set_keyer(width, percent), parts), "candidates")
     clusters = staged(components(links), "clusters")
-    true = components(staged(_true_links(rows, sets, clusters, width, percent, block), "links"))
+    drop_staged(links)
+    refined = _refined(sets, clusters, percent, POINTS)
+    drop_staged(clusters)
+    true = components(staged(_true_links(rows, sets, refined, width, percent, block), "links"))
     # Per set the smallest id; per component the smallest of its sets.
     least = sets.where("n > 0").groupBy("set_a").agg(F.min("i_").alias("least")).join(true.withColumnRenamed("node", "set_a"), "set_a", "left")
     least = least.withColumn("root", F.coalesce("root", "set_a"))
