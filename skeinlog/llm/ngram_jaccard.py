@@ -1,7 +1,7 @@
 """N-gram Jaccard join with a count-vector R-tree.
 
 A document is a set of hashed word shingles.  Hashing the shingles into ``GROUPS`` groups turns the set
-into a point, the vector of the groups' counts; two sets share at most the sum of the smaller of each pair
+into a point, the vector of the groups' counts (more groups for larger sets, folded to compare); two sets share at most the sum of the smaller of each pair
 of coordinates.  An R-tree over the points bounds that sum for whole boxes, and pairs that survive are
 verified on the sets themselves.
 
@@ -41,7 +41,8 @@ from .common import col, drop_staged, fresh, quoted, staged
 from .graph import components
 from .shingles import mix, shingle_set
 
-GROUPS = 128
+#: Fewest groups of a point, and most shingles a group has on average.
+GROUPS, PER_GROUP = 128, 6
 #: Most shingles of a task's sets; a cluster beyond that is split into blocks.
 BLOCK = 2_000_000
 #: Most points of a task.
@@ -279,13 +280,21 @@ def _may_link(x: dict, y: dict, percent: int) -> bool:
 
 
 def point_of(h: np.ndarray) -> np.ndarray:
-    """The counts of a set's groups, in the narrowest type that holds them."""
-    x = np.bincount((h >> _U(7)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    """The counts of a set's groups, in the narrowest type that holds them.
+
+    Larger sets have more groups, a power of two, so that a group holds a few shingles and the bound stays sharp.
+    """
+    groups = max(GROUPS, 1 << max(0, (len(h) // PER_GROUP - 1)).bit_length())
+    x = np.bincount((h >> _U(7) & _U(groups - 1)).astype(np.int64), minlength=groups)
     return x.astype(np.uint8 if x.max() < 1 << 8 else np.uint16 if x.max() < 1 << 16 else np.int32)
 
 
-def _read_point(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.int32}[len(raw) // GROUPS])
+def folded(points: list[np.ndarray]) -> np.ndarray:
+    """Points of one dimension, the least of theirs: groups of a finer point add up to those of a coarser one."""
+    least = min(map(len, points))
+    points = [p if len(p) == least else p.reshape(-1, least).sum(0) for p in points]
+    most = max(int(p.max()) for p in points)
+    return np.stack(points).astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.int32)
 
 
 def connecting(points: np.ndarray, sizes: np.ndarray, percent: int, sides: np.ndarray | None, linked: Callable[[int, int], bool]) -> list[tuple[int, int]]:
@@ -348,15 +357,12 @@ def verified_links(sets: list[np.ndarray], percent: int, sides: np.ndarray | Non
     """Verified links that connect all sets that links connect; with ``sides``, only links across two sides count."""
     if len(sets) < 2:
         return []
-    points = [point_of(s) for s in sets]
-    kind = max((p.dtype for p in points), key=lambda t: t.itemsize)
-
     def linked(i: int, j: int) -> bool:
         a, b = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
         both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
         return 100 * both >= percent * (len(a) + len(b) - both)
 
-    return connecting(np.stack(points).astype(kind), np.array([len(s) for s in sets]), percent, sides, linked)
+    return connecting(folded([point_of(s) for s in sets]), np.array([len(s) for s in sets]), percent, sides, linked)
 
 
 def _slots(names: np.ndarray, size: int) -> np.ndarray:
@@ -416,17 +422,17 @@ def _dealt(placed: DataFrame, *columns: str) -> DataFrame:
 def _refined(named: DataFrame, clusters: DataFrame, percent: int, block: int) -> DataFrame:
     """Clusters (node, root) of those sets that are connected by pairs for which the points leave room."""
     places = _places(named, clusters, percent, F.lit(1), block)
-    points = named.where("n > 0").select(F.col("set_a").alias("node"), "n", "point").join(clusters.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    points = named.where("n > 0").select(F.col("set_a").alias("node"), "n", "point", "width").join(clusters.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
     def join(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         node = t.column("node").to_numpy()
-        read = [_read_point(x) for x in t.column("point").to_pylist()]
-        kind = max((p.dtype for p in read), key=lambda k: k.itemsize)
+        kinds = {1: np.uint8, 2: np.uint16, 4: np.int32}
+        read = [np.frombuffer(x, kinds[w]) for x, w in zip(t.column("point").to_pylist(), t.column("width").to_pylist(), strict=True)]
         sides = None if key[2].as_py() == key[3].as_py() else t.column("mine").to_numpy()
-        pairs = connecting(np.stack(read).astype(kind), t.column("n").to_numpy(), percent, sides, lambda i, j: True)
+        pairs = connecting(folded(read), t.column("n").to_numpy(), percent, sides, lambda i, j: True)
         return pa.table({"a": pa.array([node[x] for x, _ in pairs], pa.int64()), "b": pa.array([node[y] for _, y in pairs], pa.int64())})
 
-    links = staged(_dealt(points.join(places, "node"), "n", "point").applyInArrow(join, "a long, b long"), "room")
+    links = staged(_dealt(points.join(places, "node"), "n", "point", "width").applyInArrow(join, "a long, b long"), "room")
     drop_staged(places)
     out = staged(components(links), "refined")
     drop_staged(links)
@@ -487,18 +493,20 @@ def similar_documents(
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(col(docs, id_col).alias("i_"), col(docs, text_col).alias("x_"))
-    schema = rows.select("i_", *[F.lit(0).cast("long").alias(c) for c in ("n", "set_a", "set_b")], F.lit(None).cast("binary").alias("point")).schema
+    schema = rows.select("i_", *[F.lit(0).cast("long").alias(c) for c in ("n", "set_a", "set_b")], F.lit(None).cast("binary").alias("point"), F.lit(0).cast("int").alias("width")).schema
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, points = [], []
+            out, points, widths = [], [], []
             for text in batch.column(1):
                 h = shingle_set(text.as_py(), width)
                 out.append((len(h), *_identity(h)) if len(h) else (0, 0, 0))
-                points.append(point_of(h).tobytes() if len(h) else None)
+                point = point_of(h) if len(h) else None
+                points.append(None if point is None else point.tobytes())
+                widths.append(0 if point is None else point.itemsize)
             x = np.array(out, object).reshape(-1, 3)
-            cols = [pa.array(x[:, 0].astype(np.int64)), _signed(x[:, 1].astype(_U)), _signed(x[:, 2].astype(_U)), pa.array(points, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["i_", "n", "set_a", "set_b", "point"])
+            cols = [pa.array(x[:, 0].astype(np.int64)), _signed(x[:, 1].astype(_U)), _signed(x[:, 2].astype(_U)), pa.array(points, pa.binary()), pa.array(widths, pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["i_", "n", "set_a", "set_b", "point", "width"])
 
     sets = staged(rows.mapInArrow(named, schema), "named")
     links = staged(candidate_links(rows.select("x_"), _set_keyer(width, percent), parts), "candidates")
