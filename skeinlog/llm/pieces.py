@@ -43,7 +43,9 @@ from .common import col, fresh, quoted, staged
 
 SHORT = 60
 #: Bytes of text in a group, groups in a slab, bytes of text in a packet of rows, words that a worker gathers.
-GROUP, SLAB, PACKET, GATHER = 32 << 20, 32, 1 << 20, 300_000
+GROUP, SLAB, PACKET, GATHER = 32 << 20, 32, 1 << 20, 80_000
+#: Rows of an Arrow batch: a batch of whole texts is in memory on both sides.
+ROWS = 4_000
 #: The model's sign for a blank; texts are read with blanks in its place.
 BLANK = "▁"
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -328,6 +330,9 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
     model = Model(raw)
     shared = spark.sparkContext.broadcast(raw)
     keep = docs.columns if keep is None else keep
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= ROWS:
+        spark.conf.set(setting, str(ROWS))
     if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
         docs = staged(docs, "encode")  # both passes have to see the same partitions
     ids_name, good = fresh(docs.select(*map(quoted, keep)), ids_col), fresh(docs.select(*map(quoted, keep)), "decodes")
@@ -348,8 +353,8 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
         find, sets, size = Model(shared.value).words, defaultdict(set), 0
 
         def flush():
-            for g, stretches in sets.items():
-                words = {w for s in stretches for w in find(" " + s)}
+            for g in list(sets):
+                words = {w for s in sets.pop(g) for w in find(" " + s)}
                 w = pa.array([x for x in words if 1 < len(x) <= SHORT], pa.string())
                 for at in range(0, len(w), 10_000):
                     part = w.slice(at, 10_000)
@@ -364,8 +369,11 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
                     size += len(mine)
             if size > GATHER:
                 yield from flush()
-                sets, size = defaultdict(set), 0
+                sets.clear()
+                size = 0
         yield from flush()
+        sets.clear()
+        pa.default_memory_pool().release_unused()
 
     def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of one group, some ``PACKET`` bytes compressed together."""
@@ -390,6 +398,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
                         yield packet(g)
         for g in list(held):
             yield packet(g)
+        pa.default_memory_pool().release_unused()
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cuts of a group's words, then its packets."""
