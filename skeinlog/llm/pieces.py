@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, fresh, quoted, staged
+from .common import col, fresh, give_back, quoted, staged
 
 SHORT = 60
 #: Bytes of text in a group, groups in a slab, bytes of text in a packet of rows, words that a worker gathers.
@@ -169,17 +169,18 @@ class Model:
 
 
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
-    """piece, score, id, late: at most as many rows as the model has pieces, without those that merges never reach.
+    """piece, score, id, rank, late: at most as many rows as the model has pieces, without those that merges never reach.
 
     Merges inside a piece's span go as in a word of its own, as long as its ends are cuts.  A piece is *late* if one of
     them scores less than the piece itself or as much: only then can it come up after its turn.
     """
     rows = []
+    ranks = {x: n for n, x in enumerate(sorted({score for score, _ in model.pieces.values()}, reverse=True))}
     for p, (score, i) in model.pieces.items():
         parts, scores = model.merges(p)
         if len(parts) == 1:
-            rows.append((p, score, i, any(x <= score for x in scores[:-1])))
-    return spark.createDataFrame(rows, "piece string, score double, id int, late boolean")
+            rows.append((p, score, i, ranks[score], any(x <= score for x in scores[:-1])))
+    return spark.createDataFrame(rows, "piece string, score double, id int, rank int, late boolean")
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int, shortest: int = 2) -> DataFrame:
@@ -201,27 +202,37 @@ def _shift(x: Column, by: Column) -> Column:
     return F.call_function("shiftleft", x, by)
 
 
+def _edge(rank: Column, at: Column, till: Column, late: Column) -> Column:
+    """An edge as one number that sorts by rank, then place."""
+    return rank.cast("long") * 8192 + at * 128 + till * 2 + late.cast("long")
+
+
 def merge_cuts(edges: Column, size: Column) -> Column:
     """Cuts of a word as bits: the best edge over exactly two neighbours joins them, until there is none.
 
-    ``edges`` is an array of structs sorted by (-score, at) with the bit masks ``ends`` and ``inner`` and ``late``.
+    ``edges`` is a sorted array of ``_edge`` numbers.
     Without late edges every edge gets its turn once, in order; with one, each turn looks for the best of all.
     """
+    one = F.lit(1).cast("long")
     full = _shift(F.lit(2).cast("long"), size) - 1
+    at = lambda e: F.shiftright(e, 7).bitwiseAND(63).cast("int")
+    till = lambda e: F.shiftright(e, 1).bitwiseAND(63).cast("int")
+    inner = lambda e: _shift(one, till(e)) - _shift(one, at(e) + 1)
 
     def fits(cuts, e):
-        return (F.bit_count(cuts.bitwiseAND(e["inner"])) == 1) & (cuts.bitwiseAND(e["ends"]) == e["ends"])
+        ends = F.getbit(cuts, at(e)) + F.getbit(cuts, till(e))
+        return (F.bit_count(cuts.bitwiseAND(inner(e))) == 1) & (ends == 2)
 
     def join(cuts, e):
-        return F.when(fits(cuts, e), cuts.bitwiseXOR(cuts.bitwiseAND(e["inner"]))).otherwise(cuts)
+        return F.when(fits(cuts, e), cuts.bitwiseAND(F.bitwise_not(inner(e)))).otherwise(cuts)
 
     def best(cuts, _):
         first = F.get(F.filter(edges, lambda e: fits(cuts, e)), F.lit(0))
-        return F.coalesce(cuts.bitwiseAND(F.bitwise_not(first["inner"])), cuts)
+        return F.coalesce(cuts.bitwiseAND(F.bitwise_not(inner(first))), cuts)
 
     # Every merge takes a cut away, so there are fewer of them than characters.
     in_turn, at_best = F.aggregate(edges, full, join), F.aggregate(F.sequence(F.lit(2), size), full, best)
-    return F.when(F.exists(edges, lambda e: e["late"]), at_best).otherwise(in_turn)
+    return F.when(F.exists(edges, lambda e: e.bitwiseAND(1) == 1), at_best).otherwise(in_turn)
 
 
 def viterbi_path(edges: Column, size: Column, unknown: float = -100.0) -> Column:
@@ -254,10 +265,7 @@ def word_cuts(words: DataFrame, spark: SparkSession, model: Model) -> DataFrame:
     """(word, the other columns, cuts): one row a row; the other columns are part of the key."""
     key = words.columns
     edges = lattice(words, piece_table(spark, model), model.longest)
-    one = F.lit(1).cast("long")
-    ends = _shift(one, F.col("at")).bitwiseOR(_shift(one, F.col("till")))
-    inner = _shift(one, F.col("till")) - _shift(one, F.col("at") + 1)
-    edge = F.struct((-F.col("score")).alias("cost"), F.col("at"), ends.alias("ends"), inner.alias("inner"), F.col("late"))
+    edge = _edge(*map(F.col, ("rank", "at", "till", "late")))
     grouped = edges.groupBy(*key).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     return grouped.select(*key, merge_cuts(F.col("edges"), F.length("word")).alias("cuts"))
 
@@ -373,7 +381,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
                 size = 0
         yield from flush()
         sets.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of one group, some ``PACKET`` bytes compressed together."""
@@ -398,7 +406,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
                         yield packet(g)
         for g in list(held):
             yield packet(g)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cuts of a group's words, then its packets."""
