@@ -45,7 +45,7 @@ SHORT = 60
 #: Bytes of text in a group, groups in a slab, bytes of text in a packet of rows, words that a worker gathers.
 GROUP, SLAB, PACKET, GATHER = 32 << 20, 32, 1 << 20, 80_000
 #: Rows of an Arrow batch: a batch of whole texts is in memory on both sides.
-ROWS = 4_000
+ROWS = 1_000
 #: The model's sign for a blank; texts are read with blanks in its place.
 BLANK = "▁"
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
