@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, quoted
+from .common import col, fresh, quoted
 
 SAMPLE, LONGEST = 6000, 20_000
 RANK, NEIGHBOURS, SHARPNESS = 48, 25, 8
@@ -139,7 +139,9 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", out_col: str = "
     """``docs`` (or its columns ``keep``) with a score from 0 to 1: the weighted share of good neighbours."""
     keep = docs.columns if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(col(docs, text_col).alias("text__"), *[docs[quoted(c)] for c in keep])
+    # A kept column of the score's name stays; the score is then called by that name and an underscore.
+    out_col = fresh(docs.select(*map(quoted, keep)), out_col)
+    rows = docs.select(col(docs, text_col).alias(fresh(docs, "text__")), *[docs[quoted(c)] for c in keep])
     schema = rows.select(*[rows[quoted(c)] for c in keep], F.lit(0.0).alias(out_col)).schema
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +156,5 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", out_col: str = "
 
 def keep_good(docs: DataFrame, model: dict, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score ``least`` or more; columns as they were."""
-    from .common import fresh
-
     name = fresh(docs, "quality_score")
     return score(docs, model, text_col, name).where(F.col(name) >= least).drop(name)

@@ -77,4 +77,6 @@ def test_edges(spark):
         out = module.score(docs, model, keep=["doc_id"]).collect()
         assert len(out) == 4 and len({r.score for r in out}) == 1
         assert module.score(docs.where("false"), model, keep=["doc_id"]).count() == 0
+        clash = module.score(docs.withColumnRenamed("doc_id", "text__"), model)
+        assert clash.columns == ["text__", "text", "score", "score_"] and sorted(r.score for r in clash.collect()) == [5, 6, 6, 7]
     assert quality.keep_good(docs, quality.train(docs, none)).columns == docs.columns
