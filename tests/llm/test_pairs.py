@@ -4,7 +4,7 @@ import numpy as np
 from compare import same_rows
 
 from skeinlog.llm import ngram_jaccard as J
-from skeinlog.llm import oracle, queries, shingles
+from skeinlog.llm import graph, oracle, queries, shingles
 
 
 def test_shingles():
@@ -89,3 +89,30 @@ def test_one_plan_whatever_the_filter_lets_through(spark, monkeypatch):
         monkeypatch.setattr(J, "FILTER_BITS", bits)
         seen.append({r.doc_id: r.component_id for r in J.similar_documents(docs).collect()})
     assert seen[0] == seen[1] == {n: n // 3 * 3 for n in range(60)}
+
+
+def test_components_against_search(spark):
+    """Random graphs, paths, hubs, repeated and self links; with links of a task at a time and with all at once."""
+    rng = np.random.default_rng(7)
+    path = [(i * 37 % 101, (i + 1) * 37 % 101) for i in range(100)]
+    hub = [(500, 501 + i) for i in range(60)] + [(500, -3)]
+    some = [(int(1000 + x), int(1000 + y)) for x, y in rng.integers(0, 120, (90, 2))]
+    links = path + path[:9] + hub + some + [(7777, 7777), (None, 3)]
+    up = {}
+    for a, b in links:
+        if a is not None and a != b:
+            up.setdefault(a, set()).add(b)
+            up.setdefault(b, set()).add(a)
+    want = {}
+    for n in sorted(up):
+        todo = [] if n in want else [n]
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = n
+                todo += up[x]
+    table = spark.createDataFrame(links, "a long, b long").repartition(5)
+    for local in (4, 50, graph.LOCAL):
+        found = [tuple(r) for r in graph.components(table, local=local).collect()]
+        assert len(found) == len(want) and dict(found) == want
+    assert graph.components(table.limit(0)).count() == 0
