@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh, quoted
+from .common import col, fresh, give_back, quoted
 
 SAMPLE, LONGEST = 6000, 20_000
 RANK, NEIGHBOURS, SHARPNESS = 48, 25, 8
@@ -132,7 +132,10 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     rows = texts.join(F.broadcast(pick), "id_").orderBy(F.md5(F.col("id_").cast("string")), "x_", "y_").limit(sample).collect()
     if not rows:
         return {"labels": np.zeros(0, np.float32)}
-    return fit([r["x_"] for r in rows], [r["y_"] for r in rows])
+    model = fit([r["x_"] for r in rows], [r["y_"] for r in rows])
+    del rows
+    give_back()  # the driver stays, and has a limit of its own
+    return model
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", out_col: str = "score", keep: list[str] | None = None) -> DataFrame:
