@@ -6,10 +6,12 @@ of coordinates.  An R-tree over the points bounds that sum for whole boxes, and
 verified on the sets themselves.
 
 An R-tree alone compares almost every pair of documents of like length: in so many dimensions its boxes
-overlap.  Documents are therefore first brought together by the same idea of hashing into groups.  Sets
-that are similar enough differ in at most ``d`` shingles, so if the shingles are hashed into more than
-``d`` groups, at least one group holds exactly the same shingles in both.  (level of size, group, content)
-is a key; sets that share a key, directly or over others, form a cluster, and no link leaves a cluster.
+overlap.  Documents are therefore first brought together by their prefixes.  All shingles have one order, those that
+few sets have first; a set's prefix are its first ``n - ceil(percent * n / 100) + 1`` shingles, and sets
+that are similar enough share a shingle of their prefixes.  How many sets have a shingle is counted over all sets; a
+set with as many shingles of its own as its prefix holds has no partner, and passages that many sets share are
+in few prefixes, so the passages do not chain unlike sets into one cluster.  Sets that share a
+prefix's shingle, directly or over others, form a cluster, and no link leaves a cluster.
 
 Clusters are refined before a set moves: only the points of their sets, made when the texts are first read, go to the
 R-trees, one for each band of sizes of a cluster, and sets whose boxes and points leave room for a link stay
@@ -18,8 +20,7 @@ together.  The sets of what is left then meet in the same way and are verified.
 
 Equal sets are one node from the start, so copies never pair up.  Inside a task, boxes and pairs that are
 already connected are skipped: what is kept are links enough to connect what is connected, each of them
-verified.  The map side connects sets that share a key within a task and sends on one of them only, so a
-key that a third of all documents have is a few rows a task.
+verified.
 
 Defined results: null, empty and blank texts have no shingle and link with nothing; a text with fewer
 words than a shingle has one, of all its words; equal rows are in one component; rows whose ids are null
@@ -50,13 +51,18 @@ POINTS = 20_000
 #: The filter of candidate sets' names has two to this power bits, whatever the input.
 FILTER_BITS = 26
 LEAF = 48
-#: Keys that a map task gathers before it passes them on.
-GATHER = 3_000_000
+#: Shingles that a map task gathers before it passes them on, and that a part counts.
+GATHER, COUNTED = 3_000_000, 4_000_000
+#: Bytes of a shingle's hash beside its part, and of a shared shingle's: equal ones only add candidates.
+KEY_BYTES, TOKEN_BYTES = 5, 6
 _U = np.uint64
 
 
 class Levels:
-    """Size levels and the number of groups that similar sets of a level need."""
+    """Size levels and the number of groups that similar sets of a level need.
+
+    The join brought sets together by these keys before it did by prefixes; its tests still name them.
+    """
 
     def __init__(self, percent: int):
         self.percent, self.first, self.groups = percent, [1], []
@@ -129,96 +135,161 @@ def _stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return links[:, 0], links[:, 1], key[new], node[new]
 
 
-def candidate_links(values: DataFrame, keyer: Callable, parts: int) -> DataFrame:
-    """Links (a, b) between nodes that share a key; enough of them to connect all that do.
+def _cut(order: np.ndarray, part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part that has rows, and the places of its rows, in the given order."""
+    cut = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cut)).tolist():
+        yield p, order[cut[p] : cut[p + 1]]
+
+
+def _packet_nodes(node: np.ndarray) -> tuple[bytes, bytes]:
+    """Different nodes of a packet, and the place of each row's node among them."""
+    nodes, place = np.unique(node, return_inverse=True)
+    return nodes.tobytes(), place.astype(np.uint16 if len(nodes) <= 1 << 16 else np.uint32).tobytes()
+
+
+def _unpacked(nodes: bytes, place: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(nodes, _U)[np.frombuffer(place, np.uint16 if len(place) == 2 * rows else np.uint32)]
+
+
+def _low(x: np.ndarray, width: int) -> bytes:
+    """The ``width`` low bytes of each number."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _wide(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view(_U).ravel()
+
+
+def shared_tokens(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, node, level) of the keys that several nodes have, each pair once; level is the logarithm of their number."""
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    often = np.zeros(len(key), bool)
+    often[1:] = same
+    often[:-1] |= same
+    at = order[often]
+    at = at[np.lexsort((node[at], key[at]))]
+    key, node = key[at], node[at]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+    key, node = key[new], node[new]
+    start = np.ones(len(key), bool)
+    start[1:] = key[1:] != key[:-1]
+    count = np.diff(np.append(np.flatnonzero(start), len(key)))
+    count = np.repeat(count, count)
+    several = count > 1
+    return key[several], node[several], np.log2(count[several]).astype(np.uint8)
+
 
-    ``values`` has one column; ``keyer()`` gives a worker's function from a value to None or to the node's name and
-    a function for its keys.
+def rarest(node: np.ndarray, level: np.ndarray, token: np.ndarray, names: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the shared tokens are in their sets' prefixes; ``names`` (sorted) and ``sizes`` are of all sets.
+
+    The order of all shingles is by level, then by token; a set's shingles that no other has come first.
+    """
+    order = np.lexsort((token, level, node))
+    of = node[order]
+    start = np.ones(len(of), bool)
+    start[1:] = of[1:] != of[:-1]
+    first = np.flatnonzero(start)
+    shared = np.diff(np.append(first, len(of)))
+    n = sizes[np.searchsorted(names, of[first])]
+    wanted = n - -(-n * percent // 100) + 1 - (n - shared)
+    rank = np.arange(len(of)) - np.repeat(first, shared)
+    return order[rank < np.repeat(wanted, shared)]
+
+
+def candidate_links(values: DataFrame, sizes: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
+    """Links (a, b) between sets that share a shingle of their prefixes; enough of them to connect all that do.
+
+    ``values`` has the texts, ``sizes`` the sets (set_a, n).
     """
-    spread = parts * 4
 
-    def emit(links, part, key, node):
-        order = np.argsort(part, kind="stable")
-        cut = np.searchsorted(part[order], np.arange(spread + 1))
-        out = []
-        for p in range(spread):
-            at = order[cut[p] : cut[p + 1]]
-            if len(at):
-                # 48 bits of the key beside its part; nodes as places in the packet's own list.
-                high = np.ascontiguousarray(key[at] >> _U(16)).view(np.uint8).reshape(-1, 8)[:, :6]
-                nodes, place = np.unique(node[at], return_inverse=True)
-                kind = np.uint16 if len(nodes) <= 1 << 16 else np.uint32
-                out.append((p, np.ascontiguousarray(high).tobytes(), place.astype(kind).tobytes(), nodes.tobytes(), None, None))
-        if len(links[0]):
-            out.append((int(links[0][0] % _U(spread)), None, None, None, links[0].tobytes(), links[1].tobytes()))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 6
-        types = [pa.int32(), *[pa.binary()] * 5]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["part", "key", "place", "node", "a", "b"])
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, seen, keys, nodes, n = keyer(), set(), [], [], 0
-
-        def flush():
-            a, b, key, node = _stars(np.concatenate(keys), np.concatenate(nodes))
-            return emit((a, b), (key % _U(spread)).astype(np.int64), key, node)
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, keys, nodes, n = set(), [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            key, node = np.concatenate(keys), np.repeat(np.array(nodes, _U), [len(k) for k in keys])
+            part = (key % _U(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+            out = [(p, *_packet_nodes(node[at]), _low(key[at] // _U(parts), KEY_BYTES)) for p, at in _cut(np.argsort(part, kind="stable"), part, parts)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["part", "nodes", "place", "key"])
 
         for batch in batches:
             for value in batch.column(0):
-                found = read(value.as_py())
-                if found is None or found[0] in seen:
+                h = shingle_set(value.as_py(), width)
+                if not len(h) or (name := _identity(h)[0]) in seen:
                     continue
-                name, make = found
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(name)
-                k = make()
-                keys.append(k)
-                nodes.append(np.full(len(k), name, _U))
-                n += len(k)
+                keys.append(h)
+                nodes.append(name)
+                n += len(h)
                 if n > GATHER:
                     yield flush()
                     keys, nodes, n = [], [], 0
         if keys:
             yield flush()
 
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node, a, b = [], [], [], []
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, list] = {}
+        for batch in batches:
+            for p, *packet in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                by.setdefault(p, []).append(packet)
+        while by:
+            p, packets = by.popitem()
+            key = np.concatenate([_wide(k, KEY_BYTES) for _, _, k in packets])
+            node = np.concatenate([_unpacked(a, b, len(k) // KEY_BYTES) for a, b, k in packets])
+            del packets
+            key, node, level = shared_tokens(key, node)
+            token = mix(key * _U(parts) + _U(p))
+            part = (mix(node) % _U(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+            out = [(q, *_packet_nodes(node[at]), _low(token[at], TOKEN_BYTES), level[at].tobytes(), None) for q, at in _cut(np.argsort(part, kind="stable"), part, parts)]
+            yield from replies(out)
+
+    def replies(out: list) -> Iterator[pa.RecordBatch]:
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], names=REPLY)
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in batch.to_pylist():
-                if part["key"] is not None:
-                    n = len(part["key"]) // 6
-                    wide = np.zeros((n, 8), np.uint8)
-                    wide[:, :6] = np.frombuffer(part["key"], np.uint8).reshape(n, 6)
-                    # The part goes back into the key: equal bits in two parts are different keys.
-                    key.append(mix(wide.view(_U).ravel() * _U(spread) + _U(part["part"])))
-                    place = np.frombuffer(part["place"], np.uint16 if len(part["place"]) == 2 * n else np.uint32)
-                    node.append(np.frombuffer(part["node"], _U)[place])
-                if part["a"] is not None:
-                    a.append(np.frombuffer(part["a"], _U))
-                    b.append(np.frombuffer(part["b"], _U))
-        if key:
-            x, y, _, _ = _stars(np.concatenate(key), np.concatenate(node))
-            a.append(x)
-            b.append(y)
-        if a:
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([_signed(pairs[:, 0]), _signed(pairs[:, 1])], names=["a", "b"])
-
-    sent = values.mapInArrow(keyed, "part int, key binary, place binary, node binary, a binary, b binary")
-    return sent.repartition(parts, "part").mapInArrow(met, "a long, b long")
-
-
-def _set_keyer(width: int, percent: int) -> Callable:
-    def make():
-        levels = Levels(percent)
-
-        def read(text: str | None):
-            h = shingle_set(text, width)
-            return (_identity(h)[0], lambda: levels.keys(h)) if len(h) else None
-
-        return read
-
-    return make
+            node, n = batch.column(0).to_numpy().view(_U), batch.column(1).to_numpy()
+            part = (mix(node) % _U(parts)).astype(np.int64)
+            yield from replies([(q, node[at].tobytes(), None, None, None, n[at].tobytes()) for q, at in _cut(np.argsort(part, kind="stable"), part, parts)])
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, list] = {}
+        for batch in batches:
+            for p, *packet in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                by.setdefault(p, []).append(packet)
+        while by:
+            _, packets = by.popitem()
+            names = np.concatenate([np.frombuffer(x[0], _U) for x in packets if x[4] is not None])
+            n = np.concatenate([np.frombuffer(x[4], np.int64) for x in packets if x[4] is not None])
+            names, first = np.unique(names, return_index=True)
+            shared = [(_unpacked(a, b, len(t) // TOKEN_BYTES), np.frombuffer(v, np.uint8), _wide(t, TOKEN_BYTES)) for a, b, t, v, m in packets if m is None]
+            if shared:
+                node, level, token = (np.concatenate(x) for x in zip(*shared, strict=True))
+                at = rarest(node, level, token, names, n[first], percent)
+                yield pa.RecordBatch.from_arrays([_signed(token[at]), _signed(node[at])], names=["token", "node"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [[c.to_numpy().view(_U) for c in batch.columns] for batch in batches]
+        if rows:
+            a, b, _, _ = _stars(*(np.concatenate(x) for x in zip(*rows, strict=True)))
+            yield pa.RecordBatch.from_arrays([_signed(a), _signed(b)], names=["a", "b"])
+
+    sent = values.mapInArrow(shingled, "part int, nodes binary, place binary, key binary")
+    reply = f"part int, {', '.join(f'{c} binary' for c in REPLY[1:])}"
+    shared = sent.repartition(parts, "part").mapInArrow(counted, reply)
+    known = sizes.where("n > 0").select("set_a", "n").mapInArrow(sized, reply)
+    first = shared.union(known).repartition(parts, "part").mapInArrow(prefixes, "token long, node long")
+    return first.repartition(parts, "token").mapInArrow(met, "a long, b long")
+
+
+REPLY = ["part", "nodes", "place", "token", "level", "sizes"]
 
 
 class Union:
@@ -509,7 +580,8 @@ def similar_documents(
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["i_", "n", "set_a", "set_b", "point", "width"])
 
     sets = staged(rows.mapInArrow(named, schema), "named")
-    links = staged(candidate_links(rows.select("x_"), _set_keyer(width, percent), parts), "candidates")
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    links = staged(candidate_links(rows.select("x_"), sets, width, percent, max(parts, -(-total // COUNTED))), "candidates")
     clusters = staged(components(links), "clusters")
     drop_staged(links)
     refined = _refined(sets, clusters, percent, POINTS)

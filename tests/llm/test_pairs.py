@@ -116,3 +116,45 @@ def test_components_against_search(spark):
         found = [tuple(r) for r in graph.components(table, local=local).collect()]
         assert len(found) == len(want) and dict(found) == want
     assert graph.components(table.limit(0)).count() == 0
+
+
+def test_similar_sets_share_a_token_of_their_prefixes():
+    rng = np.random.default_rng(11)
+    for percent in (90, 80):
+        for _ in range(8):
+            sets = random_sets(rng, 90, percent)
+            sizes = np.array([len(s) for s in sets])
+            names = np.arange(90).astype(np.uint64)
+            key, node = np.concatenate(sets), np.repeat(names, sizes)
+            token, of, level = J.shared_tokens(np.concatenate([key, key[:50]]), np.concatenate([node, node[:50]]))
+            found, count = np.unique(key, return_counts=True)
+            assert sorted(zip(token.tolist(), of.tolist())) == sorted((k, n) for k, n in zip(key.tolist(), node.tolist()) if count[np.searchsorted(found, k)] > 1)
+            assert (level == np.floor(np.log2(count[np.searchsorted(found, token)]))).all()
+            at = J.rarest(of, level, token, names, sizes, percent)
+            prefix = [set(token[at][of[at] == n].tolist()) for n in names]
+            assert all(len(p) <= n - -(-n * percent // 100) + 1 for p, n in zip(prefix, sizes.tolist(), strict=True))
+            for i in range(90):
+                for j in range(i):
+                    assert prefix[i] & prefix[j] or not linked(sets[i], sets[j], percent)
+
+
+def test_shared_passages_do_not_chain(spark, monkeypatch):
+    """Each text shares passages with the texts beside it, but none is like another, save the last two."""
+    passage = [" ".join(f"p{n}_{k}" for k in range(30)) for n in range(81)]
+    texts = [f"{passage[n]} {' '.join(f'own{n}_{k}' for k in range(60))} {passage[n + 1]}" for n in range(80)]
+    docs = spark.createDataFrame([*enumerate(texts), (80, texts[79] + " more")], "doc_id long, text string")
+    clusters, staged = [], J.staged
+
+    def seen(df, label):
+        out = staged(df, label)
+        if label == "clusters":
+            clusters.extend(r["count"] for r in out.groupBy("root").count().collect())
+        return out
+
+    monkeypatch.setattr(J, "staged", seen)
+    for parts in (J.COUNTED, 100):
+        monkeypatch.setattr(J, "COUNTED", parts)
+        clusters.clear()
+        found = {r.doc_id: r.component_id for r in J.similar_documents(docs, width=5, percent=80).collect()}
+        assert found == {n: min(n, 79) for n in range(81)}
+        assert clusters == [2]
