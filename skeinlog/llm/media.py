@@ -6,12 +6,12 @@ the orientation, give its descriptor.  Brightness and contrast don't change comp
 a corner is the strongest within ``APART`` pixels, so their number is bounded by the area and a crop has the
 corners that its place has in the whole.
 
-*Tables.*  Each of ``TABLES`` tables draws ``DRAWN`` of a descriptor's bits; the first of them, the more the more
-descriptors there are (``key_bits``), are its key, and descriptors with equal keys meet.  There the first image by name
-leads those whose other drawn bits differ in at most a share of ``CHECK_SHARE``, the first of the rest leads further ones, and so on: each
-image votes for its leader only, so a key that all images have costs one vote an image, and keys with many leaders
-are split by further bits.  Images of a group of copies meet the same leader again and again.  A pair is a
-candidate if ``VOTES`` different corners (by number, modulo 64) vote for it with about the same turn.  Copies have
+*Tables.*  Each of ``TABLES`` tables draws ``DRAWN`` of a descriptor's bits; the first ``KEY_BITS`` of them, however many
+descriptors there are, are its key, and descriptors with equal keys meet.  There the first image by name
+leads those whose other drawn bits differ in at most a share of ``CHECK_SHARE``, the first of the rest leads further ones, and so on
+until none is left: each image votes for its leader only, so a key that all images have costs one vote an image.
+Images of a group of copies meet the same leader again and again.  A pair is a candidate if
+``VOTES`` different corners (by number, modulo 64) vote for it with about the same turn.  Copies have
 many descriptors, so they meet almost surely, but not for certain (the README has the recall against
 consensus of all pairs).
 
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, drop_staged, staged
+from .common import col, drop_staged, give_back, staged
 from .graph import components
 from .shingles import mix
 
@@ -46,12 +46,22 @@ APART, LEVELS, SHRINK = 2, 3, 1.5
 RADIUS, BITS, WORDS = 9, 256, 4
 #: Bits that a table draws, of which the first ones are the key; the others may differ by a share.
 TABLES, DRAWN, CHECK_SHARE = 8, 48, 0.15
-#: Descriptors of a key, were all keys equally frequent: this sets the keys' bits.
-PER_KEY, KEY_LEAST, KEY_MOST = 16, 16, 32
-VOTES, TURNS, ROUNDS = 3, 6, 32
+#: Bits of a key.  The same for every input, so that whether two pictures meet does not depend on how many others there are.
+KEY_BITS = 16
+VOTES, TURNS = 3, 6
 NEAR, INLIERS, TOLERANCE = 48, 6, 3.0
 #: Candidates of a packet, keys that a map task gathers and that a task sorts.
 BLOCK, GATHER, KEYS = 400, 250_000, 700_000
+#: Pictures that a worker draws or describes at a time.
+SLICE = 500
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces; unused memory goes back at the end, since the worker stays."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+    give_back()
 
 
 def decode(raw: bytes | None) -> np.ndarray | None:
@@ -188,11 +198,6 @@ def drawn_bits(words: np.ndarray) -> np.ndarray:
     return wide.view(">u8")[:, :, 0].astype(np.uint64)
 
 
-def key_bits(corners: int) -> int:
-    """Bits of a key: they grow with the number of descriptors, so that random ones share a key with few others."""
-    return min(KEY_MOST, max(KEY_LEAST, math.ceil(math.log2(max(1, corners) / PER_KEY))))
-
-
 def _once(rows: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different ``rows``, with their masks joined."""
     order = np.lexsort(rows.T[::-1])
@@ -205,22 +210,15 @@ def _once(rows: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def votes_of(table: np.ndarray, drawn: np.ndarray, node: np.ndarray, corner: np.ndarray, angle: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(image, leader, turn) and a bit for each corner that votes for it.
 
-    Angles are numbers below 256.  Keys that still have rows after ``ROUNDS`` leaders are split by eight more bits, so
-    there are at most ``ROUNDS`` rounds for each eight bits, whatever the number of rows.
+    Angles are numbers below 256.  There are as many rounds as the key with the most leaders has.
     """
     key = drawn >> np.uint64(DRAWN - bits) | table.astype(np.uint64) << np.uint64(DRAWN)
     check = drawn & np.uint64((1 << DRAWN - bits) - 1)
-    most, left = int((DRAWN - bits) * CHECK_SHARE), DRAWN - bits
+    most = int((DRAWN - bits) * CHECK_SHARE)
     order = np.lexsort((drawn, node, key))
     key, check, node, corner, angle = (x[order] for x in (key, check, node, corner, angle))
-    found, masks, rounds = [], [], 0
+    found, masks = [], []
     while len(key):
-        rounds += 1
-        if rounds % ROUNDS == 0 and left:
-            left = max(0, left - 8)
-            key = key & ~np.uint64((1 << DRAWN) - 1) | (key & np.uint64((1 << DRAWN) - 1)) << np.uint64(8) & np.uint64((1 << DRAWN) - 1) | check >> np.uint64(left) & np.uint64(255)
-            order = np.lexsort((check, node, key))
-            key, check, node, corner, angle = (x[order] for x in (key, check, node, corner, angle))
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         lead = np.flatnonzero(new)[np.cumsum(new) - 1]
@@ -237,7 +235,7 @@ def votes_of(table: np.ndarray, drawn: np.ndarray, node: np.ndarray, corner: np.
     return _once(np.concatenate(found), np.concatenate(masks))
 
 
-def candidate_pairs(pictures: DataFrame, parts: int, bits: int) -> DataFrame:
+def candidate_pairs(pictures: DataFrame, parts: int, bits: int = KEY_BITS) -> DataFrame:
     """Candidates (a, leader) of pictures (node, places, words)."""
 
     def emit(node, drawn, corner, angle):
@@ -276,6 +274,8 @@ def candidate_pairs(pictures: DataFrame, parts: int, bits: int) -> DataFrame:
                     held, size = [], 0
         if size:
             yield emit(*map(np.concatenate, zip(*held, strict=True)))
+        held, seen = [], set()
+        give_back()
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list] = {}
@@ -289,6 +289,8 @@ def candidate_pairs(pictures: DataFrame, parts: int, bits: int) -> DataFrame:
             drawn, *rest = map(np.concatenate, zip(*by.popitem()[1], strict=True))
             rows, mask = votes_of(drawn >> np.uint64(DRAWN), drawn & np.uint64((1 << DRAWN) - 1), *rest, bits)
             yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, i]) for i in range(3)), pa.array(mask)], names=["a", "leader", "turn", "corners"])
+            del drawn, rest, rows, mask
+        give_back()
 
     sent = pictures.select("node", "places", "words").mapInArrow(keyed, f"part int, {', '.join(f'{c} binary' for c in PACKET[1:])}")
     votes = sent.repartition(parts, "part").mapInArrow(met, "a long, leader long, turn long, corners long")
@@ -341,7 +343,7 @@ def find_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "i
     rows = images.select(col(images, id_col).cast("long").alias("i_"), col(images, image_col).alias("x_")).where("i_ is not null")
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for raw in batch.column(1).to_pylist():
                 x = decode(bytes(raw) if raw is not None else None)
@@ -359,7 +361,7 @@ def find_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "i
     described_ = seen.where("node is not null and n > 0")
     corners = described_.agg(F.sum("n")).first()[0] or 0
     parts = max(int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-corners * TABLES // KEYS))
-    pairs = staged(candidate_pairs(described_, parts, key_bits(corners)), "candidates")
+    pairs = staged(candidate_pairs(described_, parts), "candidates")
     # A leader's candidates in packets, the leader in each of them.
     many = pairs.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("packets"))
     dealt = pairs.join(many, "leader").withColumn("packet", F.pmod(F.xxhash64("a"), F.col("packets")).cast("int"))
@@ -416,7 +418,7 @@ def pictures(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     rows = vectors.select(col(vectors, id_col).cast("long").alias("i"), col(vectors, vector_col).cast("array<double>").alias("v")).where("i is not null")
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             ids, images = [], []
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 fine = v and all(x is not None and math.isfinite(x) for x in v)

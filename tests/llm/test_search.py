@@ -143,6 +143,41 @@ def test_keys_with_many_leaders_end():
     assert all(lead[i + 3000] == lead[i] for i in range(3000)) and (mask == 1).all()
 
 
+def test_votes_do_not_depend_on_other_descriptors():
+    """A key with many leaders is not split: descriptors 4 bits apart meet, whoever else has the key."""
+    rng = np.random.default_rng(12)
+    check = rng.integers(0, 1 << 32, 40).astype(np.uint64)
+    near = check ^ np.uint64(0x80400201)  # differs in each eight bits
+    others = rng.integers(0, 1 << 32, 3000).astype(np.uint64)
+    others = others[(np.bitwise_count(others[:, None] ^ np.concatenate([check, near])[None, :]) > 4).all(1)]
+    found = []
+    for more in (others[:0], others):
+        drawn = np.concatenate([check, near, more])
+        zero = np.zeros(len(drawn), np.uint8)
+        # The others' names come first, so they lead first.
+        node = np.concatenate([np.arange(80) + 10_000, np.arange(len(more))])
+        rows, _ = media.votes_of(zero.astype(np.uint64), drawn, node, zero, zero, 16)
+        found.append({(a, b) for a, b, _ in rows.tolist() if a >= 10_000})
+    assert found[0] == found[1] == {(10_040 + n, 10_000 + n) for n in range(40)}
+
+
+def test_keys_have_the_same_bits_for_all_inputs(spark, monkeypatch):
+    """The operator's plan for few corners and, with the count of corners set, for many: the same votes."""
+    used = []
+    df = spark.createDataFrame([(n, media.encode_pgm(media.drawn(np.random.default_rng(n).standard_normal(64)))) for n in range(4)], "image_id long, image binary")
+    pairs, sums = media.candidate_pairs, media.F.sum
+
+    def met(pictures, parts, *bits):
+        used.append(bits)
+        return pairs(pictures, 4, *bits)
+
+    monkeypatch.setattr(media, "candidate_pairs", met)
+    for times in (1, 1_000_000):
+        monkeypatch.setattr(media.F, "sum", lambda c, t=times: sums(c) * t if c == "n" else sums(c))
+        assert media.find_copies(df).count() == 4
+    assert used[0] == used[1]
+
+
 def test_small_crop_of_a_large_picture(spark):
     rng = np.random.default_rng(6)
     large = [media.drawn(rng.standard_normal(484), 240) for _ in range(6)]
