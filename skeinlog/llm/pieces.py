@@ -32,9 +32,11 @@ import re
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,6 +109,14 @@ class Model:
                 ways.append(f"{blanks}[{''.join(map(re.escape, chars))}]+")
         return "|".join([*ways, " +", "(?s:.)"])
 
+    def words_of(self, stretches: list[str], ends: list[str]) -> list[str]:
+        """Words of ``stretches``, searched for at once, then of ``ends``, which are blanks only and would run into others.
+
+        The first word of a stretch starts with a blank, the others do not.
+        """
+        found = self.words(" " + " ".join(stretches)) if stretches else []
+        return found + [" " + s for s in ends]
+
     def ids(self, piece: str) -> list[int]:
         if piece in self.pieces:
             return [self.pieces[piece][1]]
@@ -168,6 +178,12 @@ class Model:
         return text[1:] if text.startswith(" ") else text
 
 
+@lru_cache(maxsize=1)
+def _model(model: bytes) -> Model:
+    """A worker's tasks share a model."""
+    return Model(model)
+
+
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
     """piece, score, id, rank, late: at most as many rows as the model has pieces, without those that merges never reach.
 
@@ -280,16 +296,32 @@ def _stretches(text: str) -> list[str]:
     return [x[1:] for x in re.findall(" +[^ ]*", " " + text)]
 
 
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Stretches of all texts, and where each text's start; null and empty texts have none."""
+    any_ = pc.greater(pc.binary_length(texts), 0).fill_null(False)
+    texts, sizes = texts.filter(any_), np.zeros(len(texts), np.int64)
+    lists = pc.split_pattern(texts, " ")
+    odd = pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " "))
+    odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+    if len(odd):
+        theirs = pa.array([_stretches(t) for t in texts.take(pa.array(odd)).to_pylist()], lists.type)
+        place = np.arange(len(lists))
+        place[odd] = len(lists) + np.arange(len(odd))
+        lists = pa.concat_arrays([lists, theirs]).take(pa.array(place))
+    sizes[any_.to_numpy(zero_copy_only=False)] = pc.list_value_length(lists)
+    return lists.flatten(), np.cumsum(np.append(0, sizes))
+
+
 class _Known(dict):
     """Ids of a group's stretches (with a blank before each) as bytes.
 
-    A word that starts with a blank is a stretch itself; other words are kept aside, and the stretches that are made
-    of several words are forgotten when they are ``GATHER``.
+    A word that starts with a blank is a stretch itself; other words are kept aside, and so are those that no edge
+    joins, up to ``GATHER`` of them.  Stretches of several words are not kept.
     """
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.inner, self.made = model, {}, []
+        self.model, self.inner, self.rest = model, {}, {}
 
     def learn(self, words: list[str], cuts: list[int]) -> None:
         cut = self.model.cut
@@ -301,23 +333,28 @@ class _Known(dict):
 
     def _slow(self, word: str) -> bytes:
         """A word that no edge joins: its characters."""
-        m = self.model
-        if len(word) > 1:
-            return b"".join(map(m.coded, m.merges(word)[0]))
-        found = self.inner[word] = m.coded(word)
+        found = self.rest.get(word)
+        if found is None:
+            if len(self.rest) >= GATHER:
+                self.rest.clear()
+            found = self.rest[word] = b"".join(map(self.model.coded, self.model.merges(word)[0]))
         return found
 
-    def __missing__(self, stretch: str) -> bytes:
-        parts, known, slow = self.model.words(" " + stretch), self.inner.get, self._slow
-        first = parts[0]
-        parts[0] = (self.get(first[1:]) if len(first) > 1 else None) or known(first) or slow(first)
-        found = self[stretch] = b"".join([parts[0], *[known(w) or slow(w) for w in parts[1:]]])
-        self.made.append(stretch)
-        if len(self.made) >= GATHER:
-            for s in self.made:
-                del self[s]
-            self.made = []
-        return found
+    def of(self, stretches: list[str]) -> list[bytes]:
+        """Ids of stretches; the words of all that are not known as one are searched for at once."""
+        made, known, slow = list(map(self.get, stretches)), self.inner.get, self._slow
+        open_ = [i for i, x in enumerate(made) if x is None]
+        full = [i for i in open_ if stretches[i].strip(" ")]
+        ends = [i for i in open_ if not stretches[i].strip(" ")] if len(full) < len(open_) else []
+        parts: list[bytes] = []
+        for w in self.model.words_of([stretches[i] for i in full], [stretches[i] for i in ends]):
+            if w[0] == " ":
+                parts.append(self.get(w[1:]) or slow(w))
+            else:
+                parts[-1] += known(w) or slow(w)
+        for i, ids in zip(full + ends, parts, strict=True):
+            made[i] = ids
+        return made
 
 
 def _packed(columns: list[pa.Array], names: list[str]) -> bytes:
@@ -358,11 +395,13 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The set of words of each group that the lattice has to cut."""
-        find, sets, size = Model(shared.value).words, defaultdict(set), 0
+        m, sets, ends, size = _model(shared.value), defaultdict(set), defaultdict(set), 0
 
         def flush():
             for g in list(sets):
-                words = {w for s in sets.pop(g) for w in find(" " + s)}
+                stretches, words = list(sets.pop(g)), {" " + s for s in ends.pop(g, ())}
+                for at in range(0, len(stretches), 10_000):
+                    words.update(m.words_of(stretches[at : at + 10_000], []))
                 w = pa.array([x for x in words if 1 < len(x) <= SHORT], pa.string())
                 for at in range(0, len(w), 10_000):
                     part = w.slice(at, 10_000)
@@ -371,9 +410,11 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
         for batch in batches:
             for g, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if t := t.as_py():
-                    mine = sets[g]
+                    mine, found = sets[g], _stretches(t.replace(BLANK, " "))
+                    if not found[-1].strip(" "):
+                        ends[g].add(found.pop())
                     size -= len(mine)
-                    mine.update(_stretches(t.replace(BLANK, " ")))
+                    mine.update(found)
                     size += len(mine)
             if size > GATHER:
                 yield from flush()
@@ -412,7 +453,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
         """Cuts of a group's words, then its packets."""
         import zstandard
 
-        m, at, known = Model(shared.value), None, None
+        m, at, known = _model(shared.value), None, None
         back = pa.array(m.back, pa.binary())
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
@@ -423,7 +464,8 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
                     at, known = gs[start], _Known(m)
                 is_cut = words.slice(start, till - start).is_valid().to_numpy(zero_copy_only=False)
                 n_cuts = int(is_cut.sum())  # they come first
-                known.learn(words.slice(start, n_cuts).to_pylist(), batch.column(2).slice(start, n_cuts).to_pylist())
+                learnt = [c.slice(start, n_cuts).to_numpy(zero_copy_only=False).tolist() for c in batch.columns[1:3]]
+                known.learn(*learnt)
                 for cargo in batch.column(3).slice(start + n_cuts, till - start - n_cuts):
                     for part in pa.ipc.open_stream(unpack.decompress(cargo.as_py())):
                         yield _encoded(part, m, known, back, names[n], own, [*keep, ids_name, good])
@@ -441,17 +483,24 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
 
 
 def _encoded(part: pa.RecordBatch, m: Model, known: _Known, back: pa.Array, text: str, own: list[str], names: list[str]) -> pa.RecordBatch:
-    """A packet's rows with ids and whether they decode."""
-    get = known.__getitem__
-    texts = [t.replace(BLANK, " ") if t else "" for t in part.column(text).to_pylist()]
-    made = [b"".join(map(get, _stretches(t))) if t else b"" for t in texts]
-    ends = np.cumsum([0, *map(len, made)]) // 4
+    """A packet's rows with ids and whether they decode.
+
+    Each of the packet's different stretches is looked up once, and its ids are then put in all its places.
+    """
+    texts = pc.replace_substring(part.column(text), BLANK, " ")
+    stretches, starts = _split(texts)
+    found = stretches.dictionary_encode()
+    made = known.of(found.dictionary.to_numpy(zero_copy_only=False).tolist())
+    ends = np.cumsum([0, *map(len, made)], dtype=np.int64) // 4
     ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(made))])
+    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids).take(found.indices)
+    ends, ids = ids.offsets.to_numpy()[starts], ids.flatten()
     spelled = back.take(ids)
     flat = spelled.buffers()[2] if len(ids) else b""
     till = np.frombuffer(spelled.buffers()[1], np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
     flat = memoryview(flat) if flat else memoryview(b"")
-    ok = [not t or bytes(flat[till[a] : till[b]]).decode("utf-8", "replace") == " " + t for t, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    spans = zip(texts.to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+    ok = [not t or bytes(flat[till[a] : till[b]]).decode("utf-8", "replace") == " " + t for t, a, b in spans]
     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
     return pa.RecordBatch.from_arrays([*[part.column(c) for c in own], lists, pa.array(ok, pa.bool_())], names=names)
 

@@ -1,6 +1,8 @@
 import itertools
 
 import public_tokenizers
+import pyarrow as pa
+import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
@@ -39,6 +41,21 @@ def test_late_pieces_and_groups(spark):
         assert r.ids_ == sp.encode(texts[r.doc_id] or "") and r.decodes_ and r.ids == r.doc_id, r.text
 
 
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_a_packet_is_searched_at_once(kind):
+    """Stretches of several words do not take a search each; texts of every shape, rows that start inside a batch."""
+    sp, m = sentencepiece.SentencePieceProcessor(model_file=PATH), P.Model(open(PATH, "rb").read())
+    find, searches = m.words, []
+    m.words = lambda text: searches.append(text) or find(text)
+    texts = [*TEXTS, "   ", "end ", "end   ", "z" + " " * 90, "▁▁x▁ ", "a  b", "\x00 \x00"] * 2
+    texts += [f"x{i}, (y{i})." for i in range(200)]
+    part = pa.RecordBatch.from_arrays([pa.array(texts, kind)], names=["t"])
+    for rows, wanted in ((part, texts), (part.slice(5), texts[5:]), (part.slice(0, 2), texts[:2])):
+        out = P._encoded(rows, m, P._Known(m), pa.array(m.back, pa.binary()), "t", [], ["ids", "decodes"])
+        assert out.column(0).to_pylist() == [sp.encode(t or "") for t in wanted] and all(out.column(1).to_pylist())
+    assert len(searches) <= 3
+
+
 def test_viterbi_equals_all_paths(spark):
     table = {"a": -2.0, "b": -3.0, "ab": -3.5, "ba": -1.0, "aba": -5.0, "bb": -2.5, "abab": -4.4}
     words = ["".join(w) for n in range(1, 7) for w in itertools.product("ab", repeat=n)] + ["axb"]
