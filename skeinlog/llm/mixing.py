@@ -10,6 +10,9 @@ The running totals are two-level: sums by (source, leading digits of the md5), t
 bucket, so that no source, however large, meets in one task.  The merged queue is sorted by ranges over all
 tasks; sums of the ranges tell where the budget ends, and only that range is summed row by row.
 
+Inside a source finish times follow the queue, so what a pass takes is the queue's beginning: one last entry a
+source and pass says which documents are taken, and no text has to move for it.
+
 Defined results: a null or empty text has size 0 and takes 0 words; a null source is a source of its own
 and sorts last; rows of one source that have the same id and size share their finish time and are taken
 alike; an empty table gives an empty one.
@@ -32,6 +35,11 @@ def n_words(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def place(doc_id, seed: str):
+    """Where a document stands in its source's queue; among equal places smaller texts come first."""
+    return F.md5(F.concat(F.lit(seed + "|"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """Per source (columns ``src``, ``size``): total size and target.  One row a source from here on.
 
@@ -59,7 +67,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
     """(id, src, size, h) of every row: the texts are read once, nothing after this sees them."""
     rows = docs.select(col(docs, id_col).alias("id"), col(docs, source_col).alias("src"), n_words(col(docs, text_col)).alias("size"))
-    return staged(rows.withColumn("h", F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("id").cast("string"), F.lit(""))))), "sizes")
+    return staged(rows.withColumn("h", place(F.col("id"), seed)), "sizes")
 
 
 def _finish_times(rows: DataFrame, weights, share, most) -> DataFrame:
@@ -111,47 +119,56 @@ def _cut(timed: DataFrame, most: int):
     return limit
 
 
+def _merged(docs: DataFrame, id_col, text_col, source_col, weights, share, most, seed):
+    """Every row's place in its source's queue, as a staged table, and the entry at which the merged queue is cut."""
+    sizes = _sized(docs, id_col, text_col, source_col, seed)
+    timed = staged(_finish_times(sizes, weights, share, most).select("id", "src", "size", "rank", "source_size", "target", "budget", "queued", "h"), "mix")
+    drop_staged(sizes)
+    return timed, _cut(timed, most)
+
+
+def _taken(limit, turn: int):
+    """Whether pass ``turn`` through the queues takes a row."""
+    some = (F.col("size") > 0) & (F.col("target") > 0)
+    if limit is None:
+        return some
+    vft = (F.col("source_size") * turn + F.col("queued")) / F.col("target")
+    here = F.struct(vft.alias("vft"), F.col("rank"), F.col("h"), F.col("size"), F.lit(turn).alias("turn"))
+    there = F.struct(*[F.lit(limit[k]).cast(t).alias(k) for k, t in QUEUE])
+    return some & (here < there)
+
+
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED,
 ) -> DataFrame:
     """One row a document: id, src, size, source_size, target, copies (0 to ``most``), taken."""
-    sizes = _sized(docs, id_col, text_col, source_col, seed)
-    timed = staged(_finish_times(sizes, weights, share, most).select("id", "src", "size", "rank", "source_size", "target", "budget", "queued", "h"), "mix")
-    drop_staged(sizes)
-    limit = _cut(timed, most)
-    taken = F.lit(0)
-    for turn in range(most):
-        vft = (F.col("source_size") * turn + F.col("queued")) / F.col("target")
-        if limit is None:
-            ok = F.lit(True)
-        else:
-            here = F.struct(vft.alias("vft"), F.col("rank"), F.col("h"), F.col("size"), F.lit(turn).alias("turn"))
-            there = F.struct(*[F.lit(limit[k]).cast(t).alias(k) for k, t in QUEUE])
-            ok = here < there
-        taken = taken + F.when((F.col("size") > 0) & (F.col("target") > 0) & ok, 1).otherwise(0)
+    timed, limit = _merged(docs, id_col, text_col, source_col, weights, share, most, seed)
+    taken = sum((F.when(_taken(limit, turn), 1).otherwise(0) for turn in range(most)), F.lit(0))
     return timed.select(
         F.col("id").alias(id_col), "src", "size", "source_size", "target", taken.alias("copies"),
     ).withColumn("taken", F.col("size") * F.col("copies"))
 
 
-def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
+def apply_mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED,
+) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as ``copies`` says, with its own columns only.
 
-    Empty texts have nothing to take and go.
+    Empty texts have nothing to take and go.  The last entry each pass takes of a source is staged, so that Spark knows
+    how small that table is and sends it to the texts.
     """
-    mix = mix_sources(docs, id_col, text_col, source_col, **kw)
-    i, s, n, c = (fresh(docs, f"mix_{x}") for x in "isnc")
-    counts = mix.where("copies > 0").groupBy(
-        F.coalesce(col(mix, id_col).cast("string"), F.lit("\x00")).alias(i), F.coalesce("src", F.lit("\x00")).alias(s), F.col("size").alias(n)
-    ).agg(F.max("copies").alias(c))
-    keyed = docs.withColumns({
-        i: F.coalesce(col(docs, id_col).cast("string"), F.lit("\x00")),
-        s: F.coalesce(col(docs, source_col), F.lit("\x00")),
-        n: n_words(col(docs, text_col)),
-    })
-    joined = keyed.join(counts, [i, s, n])
-    repeated = joined.withColumn(c, F.explode(F.array_repeat(F.lit(0), F.col(c))))
+    timed, limit = _merged(docs, id_col, text_col, source_col, weights, share, most, seed)
+    s, h, n, c = (fresh(docs, f"mix_{x}") for x in "shnc")
+    ends = [fresh(docs, f"mix_end{turn}") for turn in range(most)]
+    entry = F.struct(F.col("h"), F.col("size"))
+    last = [F.max(F.when(_taken(limit, turn), entry)).alias(end) for turn, end in enumerate(ends)]
+    bounds = staged(timed.groupBy(F.col("src").alias(s)).agg(*last), "bounds")
+    drop_staged(timed)
+    placed = docs.withColumns({h: place(col(docs, id_col), seed), n: n_words(col(docs, text_col))})
+    joined = placed.join(bounds, col(placed, source_col).eqNullSafe(F.col(s)))
+    here = F.struct(F.col(h).alias("h"), F.col(n).alias("size"))
+    copies = sum((F.when((F.col(n) > 0) & (here <= F.col(end)), 1).otherwise(0) for end in ends), F.lit(0))
+    repeated = joined.withColumn(c, F.explode(F.array_repeat(F.lit(0), copies)))
     return repeated.select(*[quoted(x) for x in docs.columns])
-
-

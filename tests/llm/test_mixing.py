@@ -65,3 +65,22 @@ def test_empty(spark):
     assert M.mix_sources(df).count() == 0 and M.apply_mix(df).count() == 0
     blank = spark.createDataFrame([(1, None, None)], "doc_id long, source string, text string")
     assert [r.taken for r in M.mix_sources(blank).collect()] == [0]
+
+
+def test_applied_as_counted(spark):
+    """Each row as often as its copies say, also where a source's name looks like no name; and no shuffle moves the texts."""
+    rows = [(i % 400 or None, (None, "\x00", "", "a")[i // 400], "w " * (i * 37 % 400 % 90)) for i in range(1600)]
+    df = spark.createDataFrame([*rows, rows[-1]], "doc_id long, source string, text string").withColumn("mix_s", F.lit("x"))
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "32k")
+    try:
+        applied = M.apply_mix(df)
+        plan = applied._jdf.queryExecution().executedPlan().toString()
+        got = {(r.doc_id, r.source): r["count"] for r in applied.groupBy("doc_id", "source").count().collect()}
+    finally:
+        spark.conf.set(limit, before)
+    assert applied.columns == df.columns and "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    want = {(r.doc_id, r.src): r.n for r in M.mix_sources(df).groupBy("doc_id", "src").agg(F.sum("copies").alias("n")).collect()}
+    assert any(want[i, None] != want[i, "\x00"] for i in range(1, 400))
+    assert got == {k: n for k, n in want.items() if n}
